@@ -1,7 +1,8 @@
 """Evaluation rows that repeat or nearly repeat a training row: a passage scan.
 
 The normal form of a row is the sequence of its distinct words in one global
-order, rarest first, each word written as one or two code points, so order and
+order, rare words first and the frequent ones in an arbitrary fixed order that
+parts the words of stock phrases, each word written as a few letters, so order and
 repetition of words in the text do not matter. An evaluation row of n words is
 cut into reach(n, t) + 1 passages of that sequence. A training row that
 overlaps by t or more differs in at most reach(n, t) words, and one word that
@@ -18,6 +19,7 @@ rule out is checked on the whole word sets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +35,36 @@ from tallywright.session import broadcast_if_small, cut
 #: A passage is lengthened until it is expected in this many rows.
 PASSAGE_ROWS = 16
 #: Most words of a passage; of a longer one its beginning is searched.
-PASSAGE_WORDS = 6
+PASSAGE_WORDS = 7
 #: Passages in one automaton (about 100 MB).
 SHARD_PASSAGES = 250_000
 #: Code points scanned, and pairs compared, at a time.
 SCAN_CHARS, SCAN_PAIRS = 2_000_000, 2_000_000
 BROADCAST_IDS = 1_000_000
-_GAP = 32
+#: Characters behind passages: blank + rank + 1 (high ranks are lowered), below those of words.
+_GAP, _RANKS = 32, 32
+
+
+_SPLIT = re.compile("([@-\x7f]+)([ -?])")
 
 
 class _Sequences:
-    """Normal forms of a batch: words of each row, rarest first, with their code points and weights."""
+    """Normal forms of a batch: words of each row in the global order, with their letters and weights."""
 
     def __init__(self, sets: Sets, freq: Frequency, shards: int):
         b = bucket(sets.h)
         nats = freq.nats[b]
-        order = np.lexsort((sets.h, -nats, sets.row))
+        # rare words first; the others by hash, as words of a stock phrase are about equally frequent
+        order = np.lexsort((mix64(sets.h), freq.frequent[b], sets.row))
         self.row, h, self.nats = sets.row, sets.h[order], nats[order].astype(np.float64)
         often = freq.frequent[b[order]]
-        self.one = (np.uint64(0x10000) + (h >> np.uint64(44))).astype(np.uint32)
-        self.two = np.where(often, 0, 0x3000 + ((h >> np.uint64(20)) & np.uint64(0x7FFF)).astype(np.int64)).astype(np.uint32)
+        self.lone = ~often
+        self.rare = np.bincount(sets.row[~often], minlength=len(sets.n))
+        # Six-bit digits: three for a frequent word, six for a rare one; the first digit tells which.
+        head = np.where(often, 0x40, 0x60) + (h >> np.uint64(59)).astype(np.int64)
+        tail = [0x40 + ((h >> np.uint64(59 - 6 * k)) & np.uint64(63)).astype(np.int64) for k in range(1, 6)]
+        self.chars = np.stack([head, *tail], 1).astype(np.uint8)
+        self.chars[often, 3:] = 0
         total = np.cumsum(self.nats)
         self.before = total - self.nats
         self.before -= np.repeat(self.before[sets.first[sets.n > 0]], sets.n[sets.n > 0]) if len(h) else 0
@@ -60,8 +72,10 @@ class _Sequences:
         self.shard = (mix64(h) % np.uint64(shards)).astype(np.int64)
         self.salts = np.maximum(1, np.ceil(np.exp(-self.nats) * shards / 16)).astype(np.int64)
 
-    def strings(self, owner: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """Joins the passages (at, length) of each owner (sorted) by blanks: the owners and their strings."""
+    def strings(self, owner: np.ndarray, at: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """Joins the passages (at, length) of each owner (sorted) by their ranks: the owners and their strings.
+
+        A rank stands behind its passage as a character that no word has."""
         if not len(at):
             return np.zeros(0, np.int64), []
         span = length + 1
@@ -69,37 +83,66 @@ class _Sequences:
         which = np.repeat(np.arange(len(at)), span)
         gap = inner == length[which]
         word = np.where(gap, 0, at[which] + inner)
-        chars = np.stack([np.where(gap, _GAP, self.one[word]), np.where(gap, 0, self.two[word])], 1).astype(np.uint32)
+        chars = self.chars[word]
+        chars[gap] = 0
+        chars[gap, 0] = rank[which[gap]]
         size = (chars != 0).sum(1)
         text = chars.reshape(-1)
-        text = text[text != 0].astype("<u4").tobytes().decode("utf-32-le")
+        text = text[text != 0].tobytes().decode("ascii")
         upto = np.cumsum(size)[np.cumsum(span) - 1]
         last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
         ends = upto[last].tolist()
         return owner[last], [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _passages(s: _Sequences, n: np.ndarray, need: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
-    """(at, length) of the first need[row] passages of each row of s."""
-    target = np.full(len(n), enough)
-    for step in range(12):
-        part = np.floor(s.before / target[s.row] + 1e-12)
-        new = np.ones(len(part), bool)
-        new[1:] = (part[1:] != part[:-1]) | (s.row[1:] != s.row[:-1])
-        got = np.bincount(s.row[new], minlength=len(n))
-        short = (got < np.minimum(need, n)) & (n > 0)
-        if not short.any():
-            break
-        target[short] = target[short] * 0.6 if step < 10 else 1e-9
-    at = np.flatnonzero(new)
-    length = np.diff(np.append(at, len(part)))
-    rank = np.arange(len(at)) - (np.cumsum(got) - got)[s.row[at]]
-    keep = rank < need[s.row[at]]
-    return at[keep], np.minimum(length[keep], PASSAGE_WORDS)
+def _passages(s: _Sequences, sets: Sets, need: np.ndarray, same: np.ndarray, enough: float):
+    """(at, length, rank) of need[row] passages of each row of s.
 
-
-def _windows(s: _Sequences, enough: float) -> tuple[np.ndarray, np.ndarray]:
-    """(at, length): from each word, as far as a passage that starts there can go."""
+    Rare words are passages by themselves. The frequent words are cut, in
+    order, into what is still needed: as many good passages (of weight
+    ``enough``, if there is as much) as partners of the same size and as many
+    rare words call for (``same``), the rest from what is left.
+    """
+    n, rare, first = sets.n, s.rare, sets.first
+    late = np.maximum(need - rare, 0)
+    good = np.clip(same - 2 * rare, 1, np.maximum(late, 1))
+    total = np.bincount(s.row, s.nats * ~s.lone, minlength=len(n))
+    words = n - rare
+    late = np.minimum(late, words)
+    target1 = np.minimum(enough, total / np.maximum(good + 0.5 * (late - good), 1))
+    order = np.argsort(-words, kind="stable")
+    order = order[late[order] > 0]
+    done, acc, left, begin = (np.zeros(len(n), x) for x in (np.int64, np.float64, np.float64, np.int64))
+    left += total
+    at, length, rank = [], [], []
+    for step in range(int(words[order].max()) if len(order) else 0):
+        rows = order[: np.searchsorted(-words[order], -step, side="left")]
+        rows = rows[done[rows] < late[rows]]
+        if not len(rows):
+            break
+        here = first[rows] + rare[rows] + step
+        acc[rows] += s.nats[here]
+        still = late[rows] - done[rows]
+        goal = np.where(done[rows] < good[rows], target1[rows], left[rows] / still)
+        cut_now = (acc[rows] >= goal - 1e-9) | (words[rows] - step - 1 < still)
+        rows, here = rows[cut_now], here[cut_now]
+        at.append(first[rows] + rare[rows] + begin[rows])
+        length.append(step + 1 - begin[rows])
+        rank.append(done[rows].copy())
+        left[rows] -= acc[rows]
+        acc[rows] = 0
+        begin[rows] = step + 1
+        done[rows] += 1
+    place = np.arange(len(s.row)) - first[s.row]
+    single = np.flatnonzero(s.lone & (place < need[s.row]))
+    at = np.concatenate([single, *at])
+    length = np.concatenate([np.ones(len(single), np.int64), *length])
+    rank = np.concatenate([np.full(len(single), -1), *rank])
+    return at, np.minimum(length, PASSAGE_WORDS), rank
+
+
+def _windows(s: _Sequences, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, length, rank): from each word, as far as a passage that starts there can go."""
     at = np.arange(len(s.row))
     length = np.ones(len(at), np.int64)
     for step in range(1, PASSAGE_WORDS):
@@ -107,7 +150,7 @@ def _windows(s: _Sequences, enough: float) -> tuple[np.ndarray, np.ndarray]:
         ok = ahead < s.end
         ok[ok] = s.before[ahead[ok]] - s.before[at[ok]] < enough - 1e-9
         length += ok
-    return at, length
+    return at, length, np.full(len(at), -1)
 
 
 def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency, shards: int):
@@ -128,24 +171,24 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
             ids = b.column(0).to_numpy(zero_copy_only=False)
             s = _Sequences(sets, freq, shards)
             limit = np.array([*limits, 1.0])[code]
-            need = reach(sets.n, limit) + 1
+            need, same = reach(sets.n, limit) + 1, allowed(sets.n, sets.n, limit) + 1
             for kind, mine in ((0, fresh & (code < len(splits))), (1, fresh & (code == len(splits)))):
-                at, length = _passages(s, sets.n, need, enough) if kind == 0 else _windows(s, enough)
+                at, length, rank = _passages(s, sets, need, same, enough) if kind == 0 else _windows(s, enough)
                 ok = mine[s.row[at]]
-                at, length = at[ok], length[ok]
+                at, length, rank = at[ok], length[ok], rank[ok]
                 if kind == 0:  # to every salt of its first word
                     salts = s.salts[at]
                     salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
-                    at, length = np.repeat(at, salts), np.repeat(length, salts)
+                    at, length, rank = np.repeat(at, salts), np.repeat(length, salts), np.repeat(rank, salts)
                 else:
                     salt = ids[s.row[at]].astype(np.int64) % s.salts[at]
                 shard = (s.shard[at] + salt * 7919) % shards
                 owner = s.row[at] * shards + shard
                 order = np.argsort(owner, kind="stable")
-                owner, strings = s.strings(owner[order], at[order], length[order])
+                owner, strings = s.strings(owner[order], at[order], length[order], np.minimum(rank[order] + 1, _RANKS - 1) + _GAP)
                 row = owner // shards
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((owner % shards * 2 + kind).astype(np.int32)), i64(ids[row]), i64(sets.n[row] << 16 | code[row]), i64(sets.sig[row]), pa.array(strings, pa.string())],
+                    [pa.array((owner % shards * 2 + kind).astype(np.int32)), i64(ids[row]), i64(sets.n[row] << 32 | np.minimum(s.rare[row], 0xFFFF) << 16 | code[row]), i64(sets.sig[row]), pa.array(strings, pa.string())],
                     ["part", "row_id", "meta", "sig", "passages"],
                 )
 
@@ -155,56 +198,68 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
 class _Automaton:
     """Aho-Corasick automaton over the passages of one shard."""
 
-    def __init__(self, ids: list, meta: list, sig: list, passages: list[list[str]]):
+    def __init__(self, ids: list, meta: list, sig: list, passages: list[list[str]], limit: np.ndarray):
         import ahocorasick
 
-        texts = [t for batch in passages for t in batch]
         self.ids, self.sig = np.concatenate(ids), np.concatenate(sig)
         meta = np.concatenate(meta)
-        self.n, self.code = meta >> 16, meta & 0xFFFF
+        self.n, rare, self.code = meta >> 32, meta >> 16 & 0xFFFF, meta & 0xFFFF
         index: dict[str, int] = {}
-        holder, which = [], []
-        for row, text in enumerate(texts):
-            for p in text.split():
+        holder, which, ranks = [], [], []
+        for row, text in enumerate(t for batch in passages for t in batch):
+            for p, rank in _SPLIT.findall(text):
                 which.append(index.setdefault(p, len(index)))
                 holder.append(row)
+                ranks.append(ord(rank))
         self.trie = ahocorasick.Automaton()
         for p, i in index.items():
             self.trie.add_word(p, i)
         self.trie.make_automaton()
         self.size = np.array([len(p) for p in index], np.int64)
-        self.words = np.array([sum(c > "￿" for c in p) for p in index], np.int64)
-        which = np.array(which)
-        order = np.argsort(which, kind="stable")
-        self.posting = np.array(holder)[order]
-        self.count = np.bincount(which, minlength=len(index))
-        self.first = np.cumsum(self.count) - self.count
-
-    def scan(self, texts: list[str], ids, meta, sig, limit: np.ndarray) -> Iterator[pa.RecordBatch]:
-        joined = " " + "".join(texts)
+        self.words = np.array([1 if p[0] >= "`" else len(p) // 3 for p in index], np.int64)
+        which, holder, ranks = np.array(which), np.array(holder), np.array(ranks) - _GAP - 1
+        # A passage of rank k is needed only for training rows with k < allowed + 1 - rare - their rare words,
+        # as rare words that match are found by themselves: postings by code and by what they call for.
+        self.limit, self.codes = limit, len(limit)
+        self.slope = (1 - limit) / (1 + limit)
+        code = self.code[holder]
+        call = np.where(ranks < 0, -1e6, ranks + rare[holder] - self.slope[code] * self.n[holder])
+        cell = which * self.codes + code
+        order = np.lexsort((call, cell))
+        self.posting = holder[order]
+        self.sorted = cell[order] * 1e8 + call[order]
+        self.first = np.searchsorted(cell[order], np.arange(len(index) * self.codes))
+
+    def scan(self, texts: list[str], ids, meta, sig) -> Iterator[pa.RecordBatch]:
+        joined = chr(_GAP) + "".join(texts)
         hits = np.array(list(self.trie.iter(joined)), np.int64).reshape(-1, 2)
         if not len(hits):
             return
         start = hits[:, 0] - self.size[hits[:, 1]]
-        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        chars = np.frombuffer(joined.encode("ascii"), np.uint8)
         hits = hits[chars[start] == _GAP]
         row = np.searchsorted(np.cumsum([len(t) for t in texts]), hits[:, 0] - 1, side="right")
-        pattern, total = hits[:, 1], np.cumsum(self.count[hits[:, 1]])
-        lo = 0
-        while lo < len(pattern):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCAN_PAIRS, side="right")))
-            yield from self._pairs(pattern[lo:hi], row[lo:hi], ids, meta >> 16, sig, limit)
-            lo = hi
-
-    def _pairs(self, pattern, row, ids, n, sig, limit) -> Iterator[pa.RecordBatch]:
-        c = self.count[pattern]
+        n, rare = meta >> 32, meta >> 16 & 0xFFFF
+        for code in range(self.codes):
+            cell = hits[:, 1] * self.codes + code
+            offer = 1 + self.slope[code] * n[row] - rare[row] + 1e-6
+            count = np.maximum(np.searchsorted(self.sorted, cell * 1e8 + offer) - self.first[cell], 0)
+            some = np.flatnonzero(count)
+            total, lo = np.cumsum(count[some]), 0
+            while lo < len(some):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCAN_PAIRS, side="right")))
+                x = some[lo:hi]
+                yield from self._pairs(self.first[cell[x]], count[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code])
+                lo = hi
+
+    def _pairs(self, first, c, words, row, ids, n, sig, t) -> Iterator[pa.RecordBatch]:
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        pattern, row = np.repeat(pattern, c), np.repeat(row, c)
-        e = self.posting[self.first[pattern] + at]
-        t = limit[self.code[e]]
-        ok = np.bitwise_count(self.sig[e] ^ sig[row]) <= allowed(self.n[e], n[row], t)
-        ok &= np.minimum(self.n[e], n[row]) >= t * np.maximum(self.n[e], n[row]) - 1e-9
-        e, row, words = e[ok], row[ok], self.words[pattern[ok]]
+        e, row = self.posting[np.repeat(first, c) + at], np.repeat(row, c)
+        apart = np.bitwise_count(self.sig[e] ^ sig[row])
+        ok = np.flatnonzero(apart <= (1 - t) / (1 + t) * (self.n[e] + n[row]) + 1e-6)
+        e, row, words = e[ok], row[ok], np.repeat(words, c)[ok]
+        ok = np.minimum(self.n[e], n[row]) >= t * np.maximum(self.n[e], n[row]) - 1e-9
+        e, row, words = e[ok], row[ok], words[ok]
         if len(e):
             pair, at = np.unique(np.stack([e, row]), axis=1, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +280,7 @@ def _scan(limits: list[float]):
             ids, meta, sig, texts = waiting
             waiting, chars = ([], [], [], []), 0
             if texts and automaton is not None:
-                yield from automaton.scan([t for x in texts for t in x], np.concatenate(ids), np.concatenate(meta), np.concatenate(sig), limit)
+                yield from automaton.scan([t for x in texts for t in x], np.concatenate(ids), np.concatenate(meta), np.concatenate(sig))
 
         for b in batches:
             part = b.column(0).to_numpy()
@@ -241,7 +296,7 @@ def _scan(limits: list[float]):
                         x.append(y)
                     continue
                 if automaton is None and held[0]:
-                    automaton, held = _Automaton(*held), ([], [], [], [])
+                    automaton, held = _Automaton(*held, limit), ([], [], [], [])
                 if automaton is None:
                     continue
                 for x, y in zip(waiting, piece):
