@@ -103,3 +103,15 @@ def distinct_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
     return rows[keep], h[keep]
+
+
+def chunks(texts: list[str | None], limit: int = 2_000_000):
+    """(start, end) ranges of texts of about ``limit`` characters each, so that long texts don't add up in memory."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
