@@ -62,7 +62,7 @@ def _pass_on(quota: pd.Series, room: pd.Series, amount: int) -> pd.Series:
 
 def allocate(plan: pd.DataFrame) -> pd.DataFrame:
     """Quotas of one plan's leaves (as many rows as it has categories)."""
-    plan = plan.sort_values(["key", "label"], kind="stable", na_position="first").reset_index(drop=True)
+    plan = plan.assign(_key=plan.key.fillna("\x00"), _label=plan.label.fillna(-1)).sort_values(["_key", "_label"], kind="stable").reset_index(drop=True)
     size = int(plan.sample_size.fillna(0).max() or 0)
     ideal = plan.target_share.fillna(0.0) * size
     quota = ideal.astype("int64")
@@ -77,7 +77,7 @@ def allocate(plan: pd.DataFrame) -> pd.DataFrame:
     drawn = raised.clip(upper=plan.eligible)
     short = raised - drawn
     got = pd.Series(0, index=plan.index)
-    for _, kin in plan.groupby("key", dropna=False).groups.items():
+    for _, kin in plan.groupby("_key").groups.items():
         lack = int(short.loc[kin].sum())
         give = _pass_on(raised.loc[kin], (plan.eligible - drawn).loc[kin], lack)
         drawn.loc[kin] += give
