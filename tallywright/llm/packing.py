@@ -130,7 +130,9 @@ def pack(documents: DataFrame, plans: DataFrame) -> DataFrame:
         return pdf[["pack_id", "container", "doc_id", "piece", "pieces", "size", "capacity"]]
 
     schema = "pack_id string, container string, doc_id bigint, piece int, pieces int, size bigint, capacity bigint"
-    packed = open_.select("pack_id", "bundle", "doc_id", "piece", "pieces", "size", "capacity").groupBy("pack_id", "bundle").applyInPandas(run, schema)
+    # a set number of partitions: bundles are small in bytes but long in work, so they must not be put together
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * documents.sparkSession.sparkContext.defaultParallelism)
+    packed = open_.repartition(parts, "pack_id", "bundle").select("pack_id", "bundle", "doc_id", "piece", "pieces", "size", "capacity").groupBy("pack_id", "bundle").applyInPandas(run, schema)
     full = all_.where("size = capacity").select(
         "pack_id", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece", "pieces", "size", "capacity"
     )
