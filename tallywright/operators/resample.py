@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -93,3 +95,72 @@ def delong(df: DataFrame, keys: list[str], scorer: str, a: str, b: str, unit: st
         (F.var_samp(d1) / F.count(d1) + F.var_samp(d0) / F.count(d0)).alias("variance"),
     ).withColumn("delta", F.col("auc_a") - F.col("auc_b"))
     return g.withColumn("z", F.when(F.col("variance") > 0, F.col("delta") / F.sqrt("variance"))).select(*keys, "auc_a", "auc_b", "delta", "variance", "z")
+
+
+def bca_ci(df: DataFrame, keys: list[str], unit: str = "row_id", reps: int = 50, confidence: float = 0.95) -> DataFrame:
+    """(keys, roc_auc, ci_low, ci_high, n_resamples): bias-corrected accelerated interval of the ROC area.
+
+    The jackknife needs one value a distinct (score, label) cell, weighted by
+    its count: leaving out a row changes the area by that row's placement.
+    """
+    from tallywright.operators.metrics import curve, ranking
+
+    c = curve(df, keys).where("pos > 1 and tot - pos > 1").withColumn("neg", F.col("tot") - F.col("pos"))
+    below = F.col("neg") - (F.col("k") - F.col("tp"))  # negatives below the score
+    nn = F.col("n") - F.col("p")
+    c = c.withColumn("v1", (below + nn / 2.0)).withColumn("v0", F.col("tp") - F.col("p") + F.col("p") / 2.0)
+    auc = ranking(df, keys).select(*keys, "roc_auc")
+    c = c.join(auc, keys)
+    total = F.col("roc_auc") * F.col("pos") * F.col("neg")
+    j1, j0 = (total - F.col("v1")) / ((F.col("pos") - 1) * F.col("neg")), (total - F.col("v0")) / (F.col("pos") * (F.col("neg") - 1))
+    c = c.withColumn("j1", j1).withColumn("j0", j0)
+    mean = F.sum(F.col("p") * F.col("j1") + nn * F.col("j0")).over(W.partitionBy(*keys)) / F.col("tot")
+    c = c.withColumn("d1", mean - F.col("j1")).withColumn("d0", mean - F.col("j0"))
+    cube = F.sum(F.col("p") * F.pow("d1", F.lit(3)) + nn * F.pow("d0", F.lit(3)))
+    square = F.sum(F.col("p") * F.pow("d1", F.lit(2)) + nn * F.pow("d0", F.lit(2)))
+    acc = c.groupBy(*keys).agg((F.try_divide(cube, 6 * F.pow(square, F.lit(1.5)))).alias("acc"))
+    rep = replicates(df, keys, unit, reps).join(auc.withColumnRenamed("roc_auc", "point"), keys)
+    g = rep.groupBy(*keys).agg(
+        F.sort_array(F.collect_list("roc_auc")).alias("v"), F.first("point").alias("roc_auc"), F.count("*").alias("n_resamples"),
+        ((F.count_if(F.col("roc_auc") < F.col("point")) + F.count_if(F.col("roc_auc") == F.col("point")) / 2.0) / F.count("*")).alias("share"),
+    ).join(acc, keys)
+
+    @F.pandas_udf("array<double>")
+    def bounds(v: pd.Series, share: pd.Series, a: pd.Series) -> pd.Series:
+        nd, out = NormalDist(), []
+        for x, s, acc_ in zip(v, share, a):
+            if acc_ is None or acc_ != acc_ or not 0 < s < 1:
+                out.append(None)
+                continue
+            z0 = nd.inv_cdf(s)
+            q = []
+            for p in ((1 - confidence) / 2, (1 + confidence) / 2):
+                z = z0 + nd.inv_cdf(p)
+                q.append(nd.cdf(z0 + z / (1 - acc_ * z)))
+            out.append([float(b) for b in np.quantile(np.asarray(x, float), q)])
+        return pd.Series(out)
+
+    return g.withColumn("b", bounds("v", "share", "acc")).select(*keys, "roc_auc", F.col("b")[0].alias("ci_low"), F.col("b")[1].alias("ci_high"), "n_resamples")
+
+
+def op_point_diff(val: DataFrame, test: DataFrame, keys: list[str], scorer: str, a: str, b: str, unit: str = "row_id", reps: int = 20) -> DataFrame:
+    """(keys, ci_low, ci_high, n_resamples) of F1(b) - F1(a) on weighted test rows at thresholds of best F1 refitted on weighted validation rows of the scorer."""
+
+    def weighted(df: DataFrame, seed: str) -> DataFrame:
+        r = df.where(F.col(scorer).isin(a, b)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", weight(hash_unit(seed, F.col("rep"), F.col(unit))))
+        return r.where("w > 0")
+
+    h = weighted(val, "v").groupBy(scorer, "rep", "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
+    part = W.partitionBy(scorer, "rep")
+    o = part.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    f = h.withColumns({"tp": F.sum("p").over(o), "k": F.sum("n").over(o), "pos": F.sum("p").over(part)}).where("pos > 0")
+    f = f.withColumn("f1", 2 * F.col("tp") / (F.col("k") + F.col("pos")))
+    t = f.groupBy(scorer, "rep").agg(F.min_by("s", F.struct(-F.round("f1", 12), F.col("s"))).alias("t"))
+    hit, yes = F.col("s") >= F.col("t"), F.col("y") == 1
+    w = F.col("w")
+    g = weighted(test, "t").join(t, [scorer, "rep"]).groupBy(*keys, scorer, "rep").agg(
+        F.try_divide(2.0 * F.sum(F.when(hit & yes, w).otherwise(0)), F.sum(F.when(hit, w).otherwise(0)) + F.sum(F.when(yes, w).otherwise(0))).alias("f1")
+    )
+    d = g.groupBy(*keys, "rep").agg((F.max(F.when(F.col(scorer) == b, F.col("f1"))) - F.max(F.when(F.col(scorer) == a, F.col("f1")))).alias("d")).where("d is not null")
+    q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
+    return d.groupBy(*keys).agg(q.alias("q"), F.count("*").alias("n_resamples")).select(*keys, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_resamples")

@@ -87,3 +87,18 @@ def with_pool(folds: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """Folds (row_id, fold, role) with an external pool (row_id) added to every training part."""
     more = pool.select("row_id").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", F.lit("train"))
     return folds.unionByName(more)
+
+
+def label_overlap(train: DataFrame, test: DataFrame, row_id: str, time: str, horizon_seconds: int) -> DataFrame:
+    """(test_id, n_train): training rows less than the horizon away in time from each test row; horizon 0 gives none.
+
+    Times are cut into cells of the horizon; a pair within it lies in the same
+    or a neighbouring cell, so the range join is an equi-join on cells.
+    """
+    at = lambda df, i, x: df.where(F.col(time).isNotNull()).select(F.col(row_id).alias(i), F.unix_micros(time).alias(x))
+    span = horizon_seconds * 1_000_000
+    if span <= 0:
+        return at(test, "test_id", "b").select("test_id", F.lit(0).cast("bigint").alias("n_train")).where("false")
+    a = at(train, "train_id", "a").withColumn("cell", F.floor(F.col("a") / span))
+    b = at(test, "test_id", "b").withColumn("cell", F.explode(F.array(*[F.floor(F.col("b") / span) + d for d in (-1, 0, 1)])))
+    return b.join(a.groupBy("cell", "a").agg(F.count("*").alias("m")), "cell").where(F.abs(F.col("a") - F.col("b")) < span).groupBy("test_id").agg(F.sum("m").alias("n_train"))

@@ -53,3 +53,32 @@ def manifest(config: dict, hashes: DataFrame | None = None) -> dict:
         "schema_version": 3, "config_hash": hashlib.sha256(text.encode()).hexdigest(), "environment": {"python": platform.python_version(), "spark": pyspark.__version__},
         "data_hashes": {r["path"]: r["sha256"] for r in hashes.toLocalIterator()} if hashes is not None else {}, "contamination_flags": [],
     }
+
+
+def headline(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One wide row a key: sizes, areas, operating points of best F1 and of 0.9 and 0.95 recall, both ECEs, precision at priors.
+
+    The parts share the histogram of distinct scores; keys of one class have
+    null areas and thresholds.
+    """
+    from tallywright.operators import select as S
+
+    out = M.ranking(df, keys).join(M.brier(df, keys), keys)
+    ece = M.ece_family(M.equal_width_bins(df, keys), keys).select(*keys, "ece")
+    best = S.max_f1(df, keys).select(*keys, F.col("t").alias("t_max_f1"), F.col("f1").alias("max_f1"))
+    r90, r95 = (S.target_recall(df, keys, r).withColumnRenamed("t", name) for r, name in ((0.9, "t_recall_90"), (0.95, "t_recall_95")))
+    for part in (ece, best, r90, r95):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def role_conflicts(records: DataFrame, required: list[str]) -> DataFrame:
+    """(source, role, problem): repeated (source, role) records, and required roles that no record has."""
+    twice = records.groupBy("source", "role").agg(F.count("*").alias("n")).where("n > 1").select("source", "role", F.lit("repeated").alias("problem"))
+    want = records.sparkSession.createDataFrame([(r,) for r in required], "role string")
+    return twice.unionByName(want.join(records.select("role").distinct(), "role", "left_anti").select(F.lit(None).cast("string").alias("source"), "role", F.lit("missing").alias("problem")))
+
+
+def slice_heatmap(card: DataFrame, slice_col: str, metric: str, scorers: list[str], scorer: str = "scorer") -> DataFrame:
+    """Grid of one metric by slice and scorer: what a heat map shows."""
+    return card.where(F.col("metric") == metric).groupBy(slice_col).pivot(scorer, scorers).agg(F.first("value"))
