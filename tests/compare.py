@@ -42,7 +42,7 @@ def differences(spark, con, data_dir: str, name: str, query, sql: str) -> str:
     want = sorted((plain(tuple(r[names.index(c)] for c in cols)) for r in cur.fetchall()), key=repr)
     if len(got) != len(want):
         return f"{len(got)} rows, not {len(want)}; only here {list(set(got) - set(want))[:2]}, only there {list(set(want) - set(got))[:2]}"
-    near = lambda a, b: abs(a - b) < 2e-5 if isinstance(a, float) and isinstance(b, float) else a == b
+    near = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-5
     bad = [(a, b) for a, b in zip(got, want) if not all(near(x, y) for x, y in zip(a, b))]
     return f"{len(bad)} of {len(got)} rows differ, as {bad[:2]}" if bad else ""
 
