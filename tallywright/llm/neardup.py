@@ -160,7 +160,7 @@ def _batch(kind: int, code, a, b, ia, ib) -> pa.RecordBatch:
     )
 
 
-def _compare(limits: list[float], last: bool):
+def _compare(limits: list[float], last: bool, hot_rows: int = HOT_ROWS):
     """Arrow kernel over rows sorted by key and size: pairs that may overlap enough (kind 0), rows of hot keys (kind 1)."""
     limit = np.array(limits)
 
@@ -205,7 +205,7 @@ def _compare(limits: list[float], last: bool):
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(edge, len(key)))
             keep = len(key) if end else edge[-1]
-            big = (size > HOT_ROWS) & (not last)
+            big = (size > hot_rows) & (not last)
             if not end and big[-1]:
                 hot, keep = key[-1], len(key)
             mask = np.repeat(big, size)
@@ -267,12 +267,13 @@ class NearDuplicates:
     table gives empty results; a repeated row_id counts as one row.
     """
 
-    def __init__(self, rows: DataFrame, thresholds: dict[str, float], row_id: str = "row_id", split: str = "split", text: str = "text"):
+    def __init__(self, rows: DataFrame, thresholds: dict[str, float], row_id: str = "row_id", split: str = "split", text: str = "text", hot_rows: int = HOT_ROWS):
         self.spark: SparkSession = rows.sparkSession
         self.splits, self.limits = list(thresholds), [float(t) for t in thresholds.values()]
         self.rows = rows.select(
             F.col(row_id).cast("bigint").alias("row_id"), F.col(split).alias("split"), F.col(text).alias("text")
         ).where(F.col("row_id").isNotNull() & F.col("split").isin(self.splits) & (F.length("text") > 0))
+        self.hot_rows = hot_rows
         self._links: DataFrame | None = None
 
     def candidates(self) -> DataFrame:
@@ -284,7 +285,7 @@ class NearDuplicates:
                 _keys(self.splits, self.limits, freq, level), "key bigint, meta bigint, ident bigint, sig bigint, row_id bigint"
             )
             got = cut(
-                keys.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_compare(self.limits, level == 2), PAIR_SCHEMA)
+                keys.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_compare(self.limits, level == 2, self.hot_rows), PAIR_SCHEMA)
             )
             found.append(got.where("kind = 0").drop("kind"))
             hot = got.where("kind = 1").select(F.col("a").alias("row_id"), F.col("b").alias("parent"))

@@ -52,12 +52,10 @@ def test_near_duplicates_are_all_pairs(spark, t):
     assert NearDuplicates(df.where("false"), {"train": t}).pairs().count() == 0
 
 
-def test_hot_keys_are_indexed_again(spark, monkeypatch):
-    import tallywright.llm.neardup as N
-
-    monkeypatch.setattr(N, "HOT_ROWS", 5)
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_keys_are_indexed_again(spark, hot):
     df, out = rows(spark, 3)
-    nd = NearDuplicates(df.coalesce(1), {"dev": 0.75})
+    nd = NearDuplicates(df.coalesce(1), {"dev": 0.75}, hot_rows=hot)
     sets = [(i, frozenset(words(x))) for i, s, x, *_ in out if i is not None and s == "dev"]
     want = {(min(i, j), max(i, j)) for i, a in sets for j, b in sets if i < j and overlap(a, b) >= 0.75}
     assert {tuple(r) for r in nd.pairs().collect()} == want
