@@ -10,9 +10,9 @@ is missing or put in between breaks one passage only, so at least one passage
 stands whole in the training row's normal form. Passages of rare words are one
 word long, those of frequent words as long as it takes to be selective.
 
-The passages are sharded by their first word. Aho-Corasick automata over the
-shards scan the training rows' sequences (of each, the parts that start with a
-word of the shard); matched intervals are merged into the number of covered
+The passages are sharded by their first two words (their only one, if they have
+one). Aho-Corasick automata over the shards scan the training rows' sequences
+(of each, the parts that start with words of the shard); matched intervals are merged into the number of covered
 words of each evaluation row and training row. What sizes and signatures do not
 rule out is checked on the whole word sets.
 """
@@ -69,8 +69,12 @@ class _Sequences:
         self.before = total - self.nats
         self.before -= np.repeat(self.before[sets.first[sets.n > 0]], sets.n[sets.n > 0]) if len(h) else 0
         self.end = (sets.first + sets.n)[self.row]
-        self.shard = (mix64(h) % np.uint64(shards)).astype(np.int64)
-        self.salts = np.maximum(1, np.ceil(np.exp(-self.nats) * shards / 16)).astype(np.int64)
+        # by the first word if a passage has one word, else by the first two, so a frequent word has many shards
+        after, follow = np.append(h[1:], np.uint64(0)), np.append(self.nats[1:], 0.0)
+        with np.errstate(over="ignore"):
+            pair = mix64(h) * np.uint64(3) + mix64(after ^ np.uint64(0x9E3779B97F4A7C15))
+        self.shard = np.stack([mix64(h) % np.uint64(shards), mix64(pair) % np.uint64(shards)]).astype(np.int64)
+        self.salts = np.maximum(1, np.ceil(np.exp(-np.stack([self.nats, self.nats + follow])) * shards / 16)).astype(np.int64)
 
     def strings(self, owner: np.ndarray, at: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, list[str]]:
         """Joins the passages (at, length) of each owner (sorted) by their ranks: the owners and their strings.
@@ -176,13 +180,18 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
                 at, length, rank = _passages(s, sets, need, same, enough) if kind == 0 else _windows(s, enough)
                 ok = mine[s.row[at]]
                 at, length, rank = at[ok], length[ok], rank[ok]
-                if kind == 0:  # to every salt of its first word
-                    salts = s.salts[at]
+                if kind == 1:  # passages of one word and longer ones have shards of their own
+                    long = length > 1
+                    at, length = np.concatenate([at, at[long]]), np.concatenate([np.ones(len(at), np.int64), length[long]])
+                    rank = np.full(len(at), -1)
+                by = (length > 1).astype(np.int64)
+                if kind == 0:  # to every salt of its first words
+                    salts = s.salts[by, at]
                     salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
-                    at, length, rank = np.repeat(at, salts), np.repeat(length, salts), np.repeat(rank, salts)
+                    at, length, rank, by = (np.repeat(x, salts) for x in (at, length, rank, by))
                 else:
-                    salt = ids[s.row[at]].astype(np.int64) % s.salts[at]
-                shard = (s.shard[at] + salt * 7919) % shards
+                    salt = ids[s.row[at]].astype(np.int64) % s.salts[by, at]
+                shard = (s.shard[by, at] + salt * 7919) % shards
                 owner = s.row[at] * shards + shard
                 order = np.argsort(owner, kind="stable")
                 owner, strings = s.strings(owner[order], at[order], length[order], np.minimum(rank[order] + 1, _RANKS - 1) + _GAP)
@@ -239,6 +248,8 @@ class _Automaton:
         chars = np.frombuffer(joined.encode("ascii"), np.uint8)
         hits = hits[chars[start] == _GAP]
         row = np.searchsorted(np.cumsum([len(t) for t in texts]), hits[:, 0] - 1, side="right")
+        once = np.unique(hits[:, 1] * len(texts) + row, return_index=True)[1]
+        hits, row = hits[once], row[once]
         n, rare = meta >> 32, meta >> 16 & 0xFFFF
         for code in range(self.codes):
             cell = hits[:, 1] * self.codes + code

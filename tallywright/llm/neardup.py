@@ -17,10 +17,10 @@ join under a known distance, and nothing is lost by going through signatures:
   signature (its Hamming distance is a lower bound); what passes is checked on
   the whole word sets.
 
-A key with very many rows (a stock phrase) is indexed once more together with
-the keys of the other chunks, in which the pair's differences must lie; what
-is still large is compared in bounded blocks spread over tasks. Copies of one
-word set enter as one class.
+Rows of a key with very many rows (a stock phrase) are indexed again, up to
+twice, under that key joined with longer keys over other chunks. What is still
+large then is streamed through one task by size, holding only the rows whose
+size a later row may match. Copies of one word set enter as one class a task.
 """
 
 from __future__ import annotations
