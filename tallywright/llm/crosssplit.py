@@ -347,7 +347,7 @@ class CrossSplitOverlap:
         )
         found = (
             spread.withColumn("shard", F.shiftright("part", 1))
-            .repartition(shards, "shard")
+            .repartitionById(shards, F.col("shard").cast("int"))  # one shard a task
             .drop("shard")
             .sortWithinPartitions("part")
             .mapInArrow(_scan(self.limits), "code int, row_id bigint, train_id bigint, covered bigint")
