@@ -34,7 +34,7 @@ from tallywright.session import broadcast_if_small, cut
 
 #: A passage is lengthened until it is expected in this many rows.
 PASSAGE_ROWS = 16
-#: Most words of a passage; of a longer one its beginning is searched.
+#: Most words of a passage; of a longer or heavier one its beginning is searched.
 PASSAGE_WORDS = 7
 #: Passages in one automaton (about 100 MB).
 SHARD_PASSAGES = 250_000
@@ -142,11 +142,12 @@ def _passages(s: _Sequences, sets: Sets, need: np.ndarray, same: np.ndarray, eno
     at = np.concatenate([single, *at])
     length = np.concatenate([np.ones(len(single), np.int64), *length])
     rank = np.concatenate([np.full(len(single), -1), *rank])
-    return at, np.minimum(length, PASSAGE_WORDS), rank
+    # what is left may weigh more than enough: the beginning that fits a window stands for the whole
+    return at, np.minimum(length, _windows(s, enough)[1][at]), rank
 
 
 def _windows(s: _Sequences, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(at, length, rank): from each word, as far as a passage that starts there can go."""
+    """(at, length, rank): from each word until the weight is ``enough``, PASSAGE_WORDS at most: as far as a passage that starts there can go."""
     at = np.arange(len(s.row))
     length = np.ones(len(at), np.int64)
     for step in range(1, PASSAGE_WORDS):
@@ -177,7 +178,7 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
             limit = np.array([*limits, 1.0])[code]
             need, same = reach(sets.n, limit) + 1, allowed(sets.n, sets.n, limit) + 1
             for kind, mine in ((0, fresh & (code < len(splits))), (1, fresh & (code == len(splits)))):
-                at, length, rank = _passages(s, sets, need, same, enough) if kind == 0 else _windows(s, enough)
+                at, length, rank = _passages(s, sets, need, same, enough) if kind == 0 else _windows(s, enough + 1e-6)  # sums differ in their last digits
                 ok = mine[s.row[at]]
                 at, length, rank = at[ok], length[ok], rank[ok]
                 if kind == 1:  # passages of one word and longer ones have shards of their own

@@ -72,6 +72,22 @@ def test_cross_split_finds_all(spark, t):
     assert CrossSplitOverlap(df.where("split = 'dev'"), {"dev": t}).flagged().count() == 0
 
 
+def test_cross_split_finds_long_rows_of_frequent_words(spark):
+    """Passages that weigh more than a scanned window: the rare words differ and a word of an early passage is missing."""
+    r = np.random.default_rng(5)
+    out = []
+    for i in range(600):
+        w = [f"v{int(x)}" for x in r.choice(150, int(r.integers(30, 61)), replace=False)]
+        out.append((i, "dev", " ".join([*w, f"only{i}", f"alone{i}"])))
+        w.pop(int(r.integers(0, len(w))))
+        out.append((1000 + i, "train", " ".join([*w, f"other{i}"] if i % 2 else w)))
+    sets = [(i, s, frozenset(words(x))) for i, s, x in out]
+    want = {("dev", i) for i, s, a in sets if s == "dev" and any(u == "train" and overlap(a, b) >= 0.9 for _, u, b in sets)}
+    df = spark.createDataFrame(out, "row_id bigint, split string, text string")
+    got = {tuple(x) for x in CrossSplitOverlap(df, {"dev": 0.9}).flagged().collect()}
+    assert len(want) > 500 and got == want
+
+
 def test_thresholds(spark):
     d = spark.createDataFrame([("N", "a", 0.5, 1, 1), ("N", "a", None, 2, 2), ("N", "b", 0.7, 1, 3), ("N", None, 0.1, 1, 4), ("M", "a", 0.1, 9, 5)], "check_name string, split string, threshold double, updated_at int, check_id int")
     assert current_thresholds(d, "N") == {"a": 0.9, "b": 0.7}
