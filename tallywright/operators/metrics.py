@@ -27,6 +27,17 @@ def validated(df: DataFrame, keys: list[str], label: str = "label", score: str =
     return df.where(ok).select(*keys, F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"), *extra)
 
 
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of the rows equal in keys the last by order; rows with a null key are no repeats of each other and all stay."""
+    rest = [c for c in df.columns if c not in keys]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")  # aggregated before the shuffle
+    got = df.where(known).groupBy(*keys).agg(last).select(*keys, "_row.*").select(*df.columns)
+    return got.unionByName(df.where(~known))
+
+
 def invalid_counts(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Input validation: rows a key has, and how many break which rule."""
     return df.groupBy(*keys).agg(

@@ -18,6 +18,7 @@ from tallywright.operators import select as S
 from tallywright.operators import similarity as X
 from tallywright.operators import splits as D
 from tallywright.operators.graph import components
+from tallywright.plans.catalog import scores
 
 
 def frame(spark, rows, schema="g string, row_id bigint, y int, s double"):
@@ -61,6 +62,14 @@ def test_bins_at_float_edges(spark):
     assert got == [min(int(np.digitize(s, np.linspace(0, 1, 11))) - 1, 9) for s in (0.0, 0.1, 0.3, 0.6, 0.7, 1.0)]
 
 
+def test_scores_are_the_last_ingested(spark):
+    rows = [(1, "r", "x", 7, 1, 0.9, 1), (2, "r", "x", 7, 1, 0.2, 3), (3, "r", "x", 7, 1, 0.2, 3), (4, "r", "x", 7, 1, None, 9), (5, "r2", "x", 7, 1, 0.4, 1), (6, None, "x", 7, 1, 0.5, 1), (7, None, "x", 7, 1, 0.5, 1), (8, "r", "x", None, 1, 0.5, None)]
+    p = spark.createDataFrame([(*r, "n") for r in rows], "pred_id bigint, run_id string, scorer string, row_id bigint, label int, score double, ingested_at int, slice_name string")
+    got = scores(lambda name: p)
+    assert {(r.pred_id, r.s) for r in got.collect()} == {(3, 0.2), (5, 0.4), (6, 0.5), (7, 0.5), (8, 0.5)}
+    assert scores(lambda name: p.where("false")).count() == 0
+
+
 def test_selectors(spark):
     d = four(spark)
     assert S.max_f1(d, ["g"]).first().t == 0.35
