@@ -16,8 +16,13 @@ from tallywright.session import cut
 
 def word_ngrams(c: str, n: int):
     t = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9']+)"), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-    return F.array_distinct(F.when(F.size(t) >= n, grams).otherwise(F.when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))))
+
+    def of(t):
+        grams = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>")))
+
+    # the words as a lambda's variable, else they are extracted again for every gram
+    return F.array_distinct(F.when(t.isNotNull(), F.transform(F.array(t), of)[0]).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard_pairs(df: DataFrame, row_id: str, grams, threshold: float) -> DataFrame:
@@ -40,6 +45,38 @@ def jaccard_pairs(df: DataFrame, row_id: str, grams, threshold: float) -> DataFr
     return both.select("a", "b", (k / (F.size("ga") + F.size("gb") - k)).alias("sim")).where(F.col("sim") >= threshold)
 
 
+def hashed(grams):
+    """64-bit hashes of grams: as long as a number, however long the grams are."""
+    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
+
+
+def copy_classes(df: DataFrame, row_id: str, grams) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) of all rows with grams, and (id, g) of one row a class.
+
+    Rows of the same gram set are a class, named by its smallest id. Joins run
+    over classes, so the pairs don't grow with the square of the copies.
+    """
+    s = df.select(F.col(row_id).alias("id"), grams.alias("g")).where(F.size("g") > 0).withColumn("key", F.md5(F.array_join(F.array_sort("g").cast("array<string>"), " ")))
+    named = s.groupBy("key").agg(F.min("id").alias("class_id"))
+    members = cut(s.select("id", "key").join(named, "key").select("id", "class_id"))
+    return members, cut(s.select("id", "g").join(members.where("id = class_id").select("id"), "id", "left_semi"))
+
+
+def corpus_dedup(df: DataFrame, row_id: str, grams, threshold: float) -> DataFrame:
+    """(id, class_id, kept, link): one row a row with grams; greedy_kept over all pairs of the threshold or more, copies included.
+
+    link is the smallest kept row that drops the row. The rows of a class have
+    the same partners, so only its first can be kept.
+    """
+    members, one = copy_classes(df, row_id, grams)
+    edges = cut(jaccard_pairs(one, "id", F.col("g"), threshold).select("a", "b"))
+    kept = cut(greedy_kept(one.select("id"), edges))
+    by = edges.join(kept.where("kept").select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("by"))
+    first = kept.join(by, "id", "left").select(F.col("id").alias("class_id"), F.col("kept").alias("_k"), "by")
+    own = F.col("id") == F.col("class_id")
+    return members.join(first, "class_id").select("id", "class_id", (own & F.col("_k")).alias("kept"), F.when(~F.col("_k"), F.col("by")).when(~own, F.col("class_id")).alias("link"))
+
+
 def tfidf(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id, x, w): l2-normalised weights of words of two or more characters, smooth idf."""
     t = df.select(F.col(row_id).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))).alias("x"))

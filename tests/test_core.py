@@ -116,6 +116,30 @@ def test_greedy(spark):
     assert X.greedy_kept(ids, e.where("false")).where("kept").count() == 5
 
 
+def test_corpus_dedup_collapses_copies(spark):
+    """As going up the rows does it, with a text of which a third of the rows are copies."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{j}"] * (j % 3) + base[k:]) for j, k in enumerate([60, 58, 55, 50, 30, 59, 2])] + ["a hot text of seven words in all"] * 100 + ["short one", "Short ONE!", None, "", "--"]
+    texts = texts + [x for x in texts[:5]] + [f"filler{i} a b c d e{i} f" for i in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    kept, link, sets = [], {}, []
+    for i, x in enumerate(texts):
+        w = words(x or "")
+        g = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+        sets.append(g)
+        if not g:
+            continue
+        near = [k for k in kept if len(g & sets[k]) / len(g | sets[k]) >= 0.8]
+        link[i] = min(near, default=None)
+        if not near:
+            kept.append(i)
+    got = {r.id: r for r in X.corpus_dedup(d, "id", X.hashed(X.word_ngrams("text", 5)), 0.8).collect()}
+    assert {i: r.link for i, r in got.items()} == link and [i for i, r in sorted(got.items()) if r.kept] == kept
+    assert len({r.class_id for i, r in got.items() if (texts[i] or "").startswith("a hot")}) == 1
+    ones = X.copy_classes(d, "id", X.hashed(X.word_ngrams("text", 5)))[1]
+    assert X.minhash_pairs(ones, "id", F.col("g"), 0.8).count() <= X.jaccard_pairs(ones, "id", F.col("g"), 0.8).count() < 100
+
+
 def test_group_folds_are_disjoint(spark):
     d = spark.createDataFrame([(i, i % 7) for i in range(70)] + [(99, None)], "row_id bigint, g bigint")
     f = D.group_kfold(d, "g", 3)
