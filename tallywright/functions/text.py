@@ -54,6 +54,16 @@ def _buffer(texts: list[str | None]) -> bytes:
     return (_SEP.join(rows) + _SEP).encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
+def alnum_counts(texts: list[str | None]) -> np.ndarray:
+    """Letters and digits of each text's words."""
+    if not texts:
+        return np.zeros(0, np.int64)
+    buf = np.frombuffer(_buffer(texts), np.uint8)
+    upto = np.append(0, np.cumsum((buf > 32) & ((buf & 0xC0) != 0x80)))
+    end = np.flatnonzero(buf == 0)
+    return upto[end] - upto[np.append(0, end[:-1] + 1)]
+
+
 def words(text: str | None) -> list[str]:
     """Words of one text in order."""
     return [w.decode("utf-8", "surrogatepass") for w in fold([text])[0].split()]
