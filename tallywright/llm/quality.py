@@ -1,23 +1,33 @@
 """Text quality statistics of documents, and which documents are no prose.
 
-Every document gets its statistics (word count, mean word length, symbol
-ratio, share of lines ending in punctuation, share of common words, and shares
-of list lines, table lines and repeated words). For every language the mean and
-covariance of prose are estimated robustly: from medians and median deviations
-over all documents, then by concentration steps in which only documents within
-the cut-off count. A document's squared Mahalanobis distance, and what each
-statistic contributes to it, tell how far it is from the prose of its language;
-outliers are named by the layout of their greater part.
+Every document gets its statistics: word count, mean word length, symbol ratio,
+share of lines ending in punctuation, share of common words. For the greater
+part of it (the median over its lines, a line weighing as the square root of
+its length, which stands between counting lines and counting characters) it
+further gets how short its lines are (one over their words), the length of
+words, the share of symbols and of common words, the cells a word, and how
+periodic its words are.
+
+For every language the centre and scatter of prose are estimated robustly from
+all documents: it starts from medians and mean deviations from them (median
+deviations are 0 where most prose is alike, as in how lines end) and
+concentrates, each step taking mean and covariance of the documents within CORE
+of the last, until that set stands still. A document's squared Mahalanobis distance, less where there is little
+text to tell from, is the sum of its statistics' contributions. Beyond CUTOFF
+it is no prose, and the statistics that are beyond prose name the kind: the
+cells a word make a table, short lines a list, anything else junk.
 
 A document's language is the one whose common words it uses most (ties and
 documents without any: its own language tag's first two letters, else "en"), as
-tags may be missing or wrong. Null, empty and blank texts have null statistics and no
-kind; a repeated doc_id is one row each time.
+tags may be missing or wrong. Null, empty and blank texts have null statistics
+and no kind; a repeated doc_id is one row each time. A language of fewer than
+LEAST_DOCS documents is held against all languages together; fewer than that in
+all give null distances and no kinds.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,137 +35,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import chunks, fold, token_hashes
+from tallywright.functions.text import alnum_counts, chunks, token_hashes
 from tallywright.session import cut
 
 #: Statistics in the distance, in order.
-STATS = ("log_words", "mean_word_length", "symbol_ratio", "punct_lines", "common_words", "list_share", "table_share", "junk_share", "repetition")
-#: Least spread of each statistic: what prose may differ by in any case.
-FLOOR = np.array([1.5, 0.6, 0.03, 0.6, 0.09, 0.103, 0.103, 0.103, 0.12])
-#: Cut-off of the squared distance in the concentration steps and for outliers (chi-squared, 9 degrees of freedom, 0.995).
-CUTOFF = 23.6
-STEPS = 3
-
-_BULLET = re.compile(r"\s*(?:[-*+•·–]\s+|\(?\d{1,3}[.)]\s+|\[[ xX]?\]\s*|[a-zA-Z][.)]\s+)")
-_PAIR = re.compile(r"\s*[\w .-]{1,30}[:=]\s*\S{0,20}(?:\s\S{1,20}){0,4}\s*$")
-_GAPS = re.compile(r"\S(?:\t| {2,})(?=\S)")
-_SYMBOL = re.compile(r"[^\w\s]|_")
-_END = ".!?…:;\"'»”’)"
-
-
-def _cells(line: str) -> tuple[str, int]:
-    """The delimiter by which a line may be a table row, and its number of cells."""
-    for d in "|\t;,":
-        n = line.count(d)
-        if d == "|":
-            n = len([c for c in line.strip().strip("|").split("|")]) - 1
-        if n >= 2:
-            return d, n + 1
-    n = len(_GAPS.findall(line.strip()))
-    return ("gap", n + 1) if n >= 2 else ("", 1)
-
-
-def line_kinds(lines: list[str], words: list[int], common: list[int]) -> list[str]:
-    """prose, list, table or junk of each line of a text, given its words and common words."""
-    cells = [_cells(s) for s in lines]
-    out = []
-    for i, s in enumerate(lines):
-        d, n = cells[i]
-        near = [cells[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        ends = s.rstrip()[-1:]
-        if d and n >= 3 and any(c == (d, n) for c in near) and not (d in ",;" and common[i] >= 0.2 * max(words[i], 1) and words[i] > 4 * n):
-            out.append("table")
-        elif set(s.strip()) <= set("-+|:= ") and d == "|":
-            out.append("table")
-        elif _BULLET.match(s) and words[i] <= 12:
-            out.append("list")
-        elif words[i] <= 8 and ends not in ".!?…" and len(lines) > 2 and (_PAIR.match(s) or words[i] <= 7 and len(s) <= 60):
-            out.append("list")
-        elif words[i] >= 6 and common[i] < 0.07 * words[i] or words[i] < 6 and len(s) > 40 and " " not in s.strip():
-            out.append("junk")
-        else:
-            out.append("prose")
-    return out
+STATS = ("log_words", "short_lines", "word_length", "symbols", "common", "cells", "punct_lines", "period")
+#: Squared distance within which a document belongs to the prose that a step takes its moments from (chi-squared, 8 degrees of freedom, 0.9999).
+CORE = 31.8
+#: Squared distance beyond which a document is no prose; prose has heavier tails than a normal distribution.
+CUTOFF = 60.0
+#: Characters at which a squared distance counts by half.
+FEW_CHARS = 75.0
+STEPS, LEAST_DOCS = 10, 50
+#: Words of a window; longest period looked for.
+WINDOW, PERIODS = 64, 12
+#: Of fewer words a period is no sign.
+PERIOD_WORDS = 64
+#: Where the share of words that stood a period before, the share of symbols and the letters a word end being those of lists and tables.
+ENDLESS, MERE_SYMBOLS, LONG_WORD = 0.8, 0.5, 12.0
+
+_ENDS = frozenset(".!?…:;\"'»”’)")
+_DELIMITER = np.isin(np.arange(256), [ord(c) for c in "|\t;,"])
 
 
 class _Common:
+    """Hashes of the common words with a bit for each language that has them."""
+
     def __init__(self, pairs: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in pairs}) or ["en"]
-        self.hashes = []
-        for lang in self.langs:
-            _, h = token_hashes([w for x, w in pairs if x == lang])
-            self.hashes.append(np.unique(h))
+        at, h = token_hashes([w for _, w in pairs])
+        self.hash, where = np.unique(h, return_inverse=True)
+        self.bits = np.zeros((len(self.hash), len(self.langs)), np.int64)
+        if len(h):
+            self.bits[where, [self.langs.index(pairs[i][0]) for i in at]] = 1
+
+
+def _median(v: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Weighted median of the values of each of n owners (sorted); the middle of the two where it lies between them; 0 for owners without any."""
+    if not len(v):
+        return np.zeros(n)
+    order = np.lexsort((v, owner))
+    v, weight = v[order], weight[order].astype(float)
+    total = np.cumsum(weight)
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    before = np.append(0, total)[np.append(0, ends[:-1])]
+    half = (before + np.append(0, total)[ends]) / 2
+    low = np.searchsorted(total, half - 1e-9 * np.maximum(half, 1), side="left")
+    high = np.searchsorted(total, half + 1e-9 * np.maximum(half, 1), side="right")
+    some = ends > np.append(0, ends[:-1])
+    low, high = np.minimum(low, len(v) - 1), np.minimum(high, len(v) - 1)
+    return np.where(some, (v[low] + v[np.minimum(high, np.maximum(ends - 1, 0))]) / 2, 0.0)
+
+
+def _visible(lines: list[str]) -> list[str]:
+    """Lines without format characters and combining marks, any white space as a blank; tabs stay."""
+    joined = "\x00".join(s.replace("\x00", " ") for s in lines)
+    for c in set(joined):
+        if c > "\x7f":
+            if c.isspace():
+                joined = joined.replace(c, " ")
+            elif unicodedata.category(c) in ("Cf", "Mn"):
+                joined = joined.replace(c, "")
+    return joined.split("\x00") if lines else []
+
+
+def _layout(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Visible characters, all characters and inner delimiters (bars, tabs, commas, semicolons, gaps of blanks) of each line."""
+    if not lines:
+        return (np.zeros(0, np.int64),) * 3
+    raw = np.frombuffer(("\x00".join(lines) + "\x00").encode("utf-8", "surrogatepass"), np.uint8)
+    end = np.flatnonzero(raw == 0)
+    start = np.append(0, end[:-1] + 1)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(mask))
+        return upto[end] - upto[start]
+
+    first_byte = (raw & 0xC0) != 0x80
+    bare = np.array([len(s.rstrip(" ;,.|").encode("utf-8", "surrogatepass")) for s in lines])
+    inner = np.arange(len(raw)) < np.repeat(start + bare, end - start + 1)
+    blank = raw == 32
+    gap = blank & np.append(blank[1:], False) & ~np.append(False, blank[:-1])
+    return count((raw > 32) & first_byte), count((raw > 0) & first_byte), count(inner & (_DELIMITER[raw] | gap))
+
+
+def _period(doc: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document, in its median window: the share of words that stood a fixed number of words before, of PERIOD_WORDS at least and as it is."""
+    n = len(words)
+    windows = -(-words // WINDOW)
+    first = np.cumsum(windows) - windows
+    at = np.arange(len(h)) - (np.cumsum(words) - words)[doc]
+    window = first[doc] + at // WINDOW
+    size = np.bincount(window, minlength=windows.sum())
+    most, echo = np.zeros(len(size)), np.zeros(len(size))
+    for p in range(1, PERIODS + 1):
+        same = np.zeros(len(h), bool)
+        same[p:] = (h[p:] == h[:-p]) & (window[p:] == window[:-p])
+        found = np.bincount(window, same, minlength=len(size))
+        most, echo = np.maximum(most, found / np.maximum(size - p, PERIOD_WORDS)), np.maximum(echo, found / np.maximum(size - p, 1))
+    owner = np.repeat(np.arange(n), windows)
+    return _median(most, size, owner, n), _median(echo, size, owner, n)
+
+
+def _batch(texts: list[str | None], tags: list[str | None], common: _Common) -> dict[str, np.ndarray | list]:
+    n, lines, owner = len(texts), [], []
+    for i, t in enumerate(texts):
+        if t:
+            mine = [s for s in map(str.strip, t.splitlines()) if s]
+            lines += mine
+            owner += [i] * len(mine)
+    owner = np.array(owner, np.int64)
+    row, h = token_hashes(lines)
+    words = np.bincount(row, minlength=len(lines))
+    hits = np.zeros((len(lines), len(common.langs)), np.int64)
+    if len(common.hash) and len(h):
+        at = np.searchsorted(common.hash, h)
+        at[at == len(common.hash)] = 0
+        known = np.flatnonzero(common.hash[at] == h)
+        for k in range(len(common.langs)):
+            hits[:, k] = np.bincount(row[known], common.bits[at[known], k], minlength=len(lines))
+    visible, size, delimiters = _layout(_visible(lines))
+    letters = alnum_counts(lines)
+    symbols = np.maximum(visible - letters, 0)
+    best = hits.max(axis=1) if len(lines) else np.zeros(0, np.int64)  # lines of another language, as quotations, count by their own
+    total = lambda x: np.bincount(owner, x, minlength=n)
+    by_doc = np.stack([total(hits[:, k]) for k in range(len(common.langs))], 1)
+    doc_words, doc_visible, doc_lines = total(words).astype(np.int64), total(visible), np.bincount(owner, minlength=n)
+    langs = []
+    for tag, mine in zip(tags, by_doc):
+        tag = (tag or "").lower()[:2]
+        ties = [common.langs[k] for k in np.flatnonzero(mine == mine.max())]
+        langs.append(tag if tag in ties else "en" if mine.max() == 0 else ties[0])
+    part = {
+        "short_lines": 1 / np.maximum(words, 1), "word_length": letters / np.maximum(words, 1), "symbols": symbols / np.maximum(visible, 1),
+        "common": best / np.maximum(words, 1), "cells": np.minimum(delimiters / (words + 1), 1.0),
+    }
+    weight = np.sqrt(size)
+    out = {k: _median(v, weight, owner, n) for k, v in part.items()}
+    ends = np.array([s[-1] in _ENDS for s in lines], float)
+    period, echo = _period(owner[row], h, doc_words)
+    return out | {
+        "lang": langs, "word_count": doc_words, "mean_word_length": total(letters) / np.maximum(doc_words, 1), "symbol_ratio": total(symbols) / np.maximum(doc_visible, 1),
+        "punct_lines": total(ends) / np.maximum(doc_lines, 1), "common_words": total(best) / np.maximum(doc_words, 1), "lines": doc_lines, "visible": doc_visible.astype(np.int64),
+        "known_words": by_doc.max(axis=1).astype(np.int64), "log_words": np.log1p(doc_words), "period": period, "echo": echo,
+    }
+
+
+_KINDS = {
+    "lang": "string", "word_count": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "punct_lines": "double", "common_words": "double", "lines": "bigint",
+    "visible": "bigint", "known_words": "bigint", "log_words": "double", "short_lines": "double", "word_length": "double", "symbols": "double", "common": "double", "cells": "double", "period": "double", "echo": "double",
+}
+SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {v}" for k, v in _KINDS.items())
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
 
 
 def _statistics(common):
-    def one(texts, tags):
-        langs = common.value.langs
-        lines, owner = [], []
-        for i, t in enumerate(texts):
-            for s in (t or "").splitlines():
-                if s.strip():
-                    lines.append(s)
-                    owner.append(i)
-        owner = np.array(owner, np.int64)
-        rows, h = token_hashes(lines)
-        words = np.bincount(rows, minlength=len(lines))
-        hits = np.stack([np.bincount(rows[np.isin(h, c)], minlength=len(lines)) for c in common.value.hashes], 1) if len(lines) else np.zeros((0, len(langs)), np.int64)
-        n = len(texts)
-        by_doc = np.stack([np.bincount(owner, hits[:, k], minlength=n) for k in range(len(langs))], 1)
-        line_best = hits.max(axis=1) if len(lines) else np.zeros(0, np.int64)
-        doc_words = np.bincount(owner, words, minlength=n)
-        folded = fold(texts)
-        # distinct words in windows of 100, so that long prose isn't repetitive
-        doc_of = owner[rows] if len(rows) else rows
-        at = np.arange(len(doc_of)) - (np.cumsum(np.bincount(doc_of, minlength=n)) - np.bincount(doc_of, minlength=n))[doc_of] if len(doc_of) else doc_of
-        window = doc_of.astype(np.uint64) * np.uint64(1 << 24) + (at // 100).astype(np.uint64)
-        key = np.unique(np.stack([window, h]), axis=1)[0] if len(h) else window
-        distinct = np.bincount((key >> np.uint64(24)).astype(np.int64), minlength=n)
-        at_line = np.searchsorted(owner, np.arange(n + 1))
-        for i, t in enumerate(texts):
-            if not t or t.isspace():
-                yield (None,) * 15
-                continue
-            a, b = at_line[i], at_line[i + 1]
-            tag = (tags[i] or "").lower()[:2]
-            best = int(by_doc[i].max())
-            ties = [k for k in range(len(langs)) if by_doc[i, k] == best]
-            lang = tag if best == 0 and tag in langs else "en" if best == 0 else next((langs[k] for k in ties if langs[k] == tag), langs[ties[0]])
-            mine, w = lines[a:b], int(doc_words[i])
-            c = line_best[a:b].tolist()  # lines of another language, as quotations, count by their own
-            kinds = line_kinds(mine, words[a:b].tolist(), c)
-            size = [len(s) for s in mine]
-            chars = max(sum(size), 1)
-            share = {
-                k: max(sum(x == k for x in kinds) / max(len(kinds), 1), sum(s for s, x in zip(size, kinds) if x == k) / chars) for k in ("list", "table", "junk")
-            }
-            yield (
-                lang, w, sum(map(len, folded[i].decode("utf-8", "surrogatepass").split())) / max(w, 1), len(_SYMBOL.findall(t)) / len(t),
-                sum(s.rstrip()[-1:] in _END for s in mine) / max(len(mine), 1), sum(c) / max(w, 1), share["list"], share["table"], share["junk"],
-                1 - distinct[i] / max(w, 1), float(np.log1p(w)), len(mine), len(t), sum(ch.isdigit() for ch in t[:100_000]) / min(len(t), 100_000), max(map(len, mine), default=0),
-            )
-
-    names = "lang word_count mean_word_length symbol_ratio punct_lines common_words list_share table_share junk_share repetition log_words lines chars digits longest_line".split()
-    kinds = [pa.string(), pa.int64(), *[pa.float64()] * 9, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, tags = b.column(1).to_pylist(), b.column(2).to_pylist()
             for lo, hi in chunks(texts):
-                cols = list(zip(*one(texts[lo:hi], tags[lo:hi])))
+                got = _batch(texts[lo:hi], tags[lo:hi], common.value)
+                blank = got["lines"] == 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", *names]
+                    [b.column(0).slice(lo, hi - lo), *(pa.array(got[k], _ARROW[kind], mask=blank) for k, kind in _KINDS.items())], ["doc_id", *_KINDS]
                 )
 
     return run
 
 
-SCHEMA = (
-    "doc_id bigint, lang string, word_count bigint, mean_word_length double, symbol_ratio double, punct_lines double, common_words double, "
-    "list_share double, table_share double, junk_share double, repetition double, log_words double, lines bigint, chars bigint, digits double, longest_line bigint"
-)
-
-
 def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row of statistics a document; one narrow pass. common_words is small (a few hundred words a language)."""
     pairs = [(r["lang"], r["word"]) for r in common_words.where("lang is not null and word is not null").select("lang", "word").distinct().collect()]
@@ -164,98 +211,138 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 class Prose:
-    """Mean and inverse covariance of prose by language (fixed size: a few numbers a language)."""
+    """Centre, inverse scatter and spreads of prose by language (a few numbers a language); "" stands for all of them."""
+
+    def __init__(self) -> None:
+        self.center: dict[str, np.ndarray] = {}
+        self.inverse: dict[str, np.ndarray] = {}
+        self.spread: dict[str, np.ndarray] = {}
+
+    def put(self, lang: str, center: np.ndarray, cov: np.ndarray) -> None:
+        self.center[lang], self.inverse[lang], self.spread[lang] = center, np.linalg.inv(cov), np.sqrt(np.diag(cov))
 
-    def __init__(self, center: dict[str, np.ndarray], inverse: dict[str, np.ndarray]):
-        self.center, self.inverse = center, inverse
+    def contributions(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Each statistic's share of the squared distance; NaN where no prose is known."""
+        parts = np.full(x.shape, np.nan)
+        for k in set(lang.tolist()):
+            use = k if k in self.center else ""
+            if use in self.center:
+                m = lang == k
+                d = x[m] - self.center[use]
+                parts[m] = d * (d @ self.inverse[use])
+        return parts
 
-    def distance(self, lang: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and each statistic's contribution."""
-        parts = np.zeros(x.shape)
-        for k in set(lang):
-            if k in self.center:
-                m = np.array([v == k for v in lang])
-                d = x[m] - self.center[k]
-                parts[m] = d * (d @ self.inverse[k])
-        return parts.sum(1), parts
 
+def _matrix(b: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([b.column(first + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(STATS))], 1)
+
+
+def _moments(prose: Prose, alone: frozenset[str]):
+    """Arrow kernel: sums of products of the documents within CORE, by language and for all languages together."""
 
-def _moments(prose: Prose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for b in batches:
-            lang = b.column(0).to_pylist()
-            x = np.stack([b.column(1 + k).to_numpy() for k in range(len(STATS))], 1)
-            d, _ = prose.distance(lang, x)
-            for k in set(lang):
-                m = np.array([v == k for v in lang]) & (d <= CUTOFF)
-                z = np.column_stack([np.ones(m.sum()), x[m]])
-                sums[k] = sums.get(k, 0) + z.T @ z
+            lang, x = np.array(b.column(0).to_pylist(), object), _matrix(b, 1)
+            for group in (lang, np.full(len(lang), "", object)):
+                near = prose.contributions(group, x).sum(1) <= CORE
+                for k in set(group.tolist()) & alone:
+                    m = near & (group == k)
+                    z = np.column_stack([np.ones(m.sum()), x[m]])
+                    sums[k] = sums.get(k, 0) + z.T @ z
         for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * s.size), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(s.reshape(-1))], ["lang", "cell", "v"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([k] * s.size), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(s.reshape(-1))], ["lang", "cell", "v"])
 
     return run
 
 
 def fit_prose(stats: DataFrame) -> Prose:
-    """Robust centre and scatter of each language over all documents with words."""
-    x = stats.where("word_count > 0").select("lang", *STATS)
-    first = x.groupBy("lang").agg(*[F.percentile_approx(s, 0.5, 1000).alias(s) for s in STATS]).collect()
-    center = {r["lang"]: np.array([r[s] for s in STATS]) for r in first}
-    inverse = {k: np.diag(1 / FLOOR**2) for k in center}
+    """Robust centre and scatter of each language over all documents with common words.
+
+    A statistic's variance gets a hundredth of its mean deviation over all
+    documents, squared, so that one which prose never varies in keeps a finite
+    weight.
+    """
+    x = stats.where("known_words > 0").select("lang", *STATS)
+    every = x.select(F.explode(F.array("lang", F.lit(""))).alias("lang"), *STATS)
+    middle = {r["lang"]: r for r in every.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(s, 0.5, 10000).alias(s) for s in STATS]).collect()}
+    known = {k: np.array([r[s] for s in STATS]) for k, r in middle.items() if r["n"] >= LEAST_DOCS}
+    prose = Prose()
+    if not known:
+        return prose
+    center = F.create_map(*[c for k, m in known.items() for c in (F.lit(k), F.array(*[F.lit(float(v)) for v in m]))])
+    away = [F.abs(F.col(s) - center[F.col("lang")][j]) for j, s in enumerate(STATS)]
+    wide = every.where(F.col("lang").isin(list(known))).groupBy("lang").agg(
+        *[F.avg(d).alias(f"a{j}") for j, d in enumerate(away)]
+    )
+    ridge = {}
+    for r in wide.collect():
+        mean = np.array([r[f"a{j}"] for j in range(len(STATS))])
+        ridge[r["lang"]] = np.diag(np.maximum(0.01 * mean, 1e-6) ** 2)
+        prose.put(r["lang"], known[r["lang"]], np.diag((1.2533 * mean) ** 2) + ridge[r["lang"]])
+    size, before = len(STATS) + 1, {}
+    moving = set(known)
     for _ in range(STEPS):
-        got = x.mapInArrow(_moments(Prose(center, inverse)), "lang string, cell int, v double").groupBy("lang", "cell").agg(F.sum("v").alias("v")).collect()
-        size = len(STATS) + 1
-        for k in center:
-            s = np.zeros(size * size)
-            for r in got:
-                if r["lang"] == k:
-                    s[r["cell"]] = r["v"]
+        got: dict[str, np.ndarray] = {k: np.zeros(size * size) for k in moving}
+        for r in x.mapInArrow(_moments(prose, frozenset(moving)), "lang string, cell int, v double").groupBy("lang", "cell").agg(F.sum("v").alias("v")).collect():
+            got[r["lang"]][r["cell"]] = r["v"]
+        for k, s in got.items():
             s = s.reshape(size, size)
-            if s[0, 0] > 2 * size:
-                mean = s[0, 1:] / s[0, 0]
-                cov = s[1:, 1:] / s[0, 0] - np.outer(mean, mean)
-                scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                wide = np.maximum(scale, FLOOR)
-                center[k], inverse[k] = mean, np.linalg.inv(cov + np.diag(wide**2 - scale**2))
-    return Prose(center, inverse)
+            if s[0, 0] < LEAST_DOCS / 2 or before.get(k) == s[0, 0]:
+                moving.discard(k)
+                continue
+            before[k] = s[0, 0]
+            mean = s[0, 1:] / s[0, 0]
+            prose.put(k, mean, s[1:, 1:] / s[0, 0] - np.outer(mean, mean) + ridge[k])
+        if not moving:
+            break
+    return prose
+
+
+def kinds(center: np.ndarray, spread: np.ndarray, x: np.ndarray, echo: np.ndarray) -> np.ndarray:
+    """list, table or junk of documents that are no prose.
+
+    Endless repetition, mere symbols and runs of characters longer than words
+    are junk by definition. Of the rest, more cells a word than prose ever has
+    make a table, shorter lines than prose ever has a list; what is neither is
+    junk.
+    """
+    at = {s: k for k, s in enumerate(STATS)}
+    own = (x - center) / spread
+    far = own**2 > CORE
+    none = (echo > ENDLESS) | (x[:, at["symbols"]] > MERE_SYMBOLS) | (x[:, at["word_length"]] > LONG_WORD)
+    table, short = far[:, at["cells"]] & (own[:, at["cells"]] > 0), far[:, at["short_lines"]] & (own[:, at["short_lines"]] > 0)
+    return np.where(none, "junk", np.where(table, "table", np.where(short, "list", "junk")))
 
 
 def _judge(prose: Prose):
-    names = ["lang", *STATS, "lines", "digits", "longest_line"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = b.column(1).to_pylist()
-            x = np.nan_to_num(np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(STATS))], 1))
-            d, parts = prose.distance(lang, x)
-            some = np.array([v is not None for v in lang])
-            lists, tables, junk = (x[:, STATS.index(k)] for k in ("list_share", "table_share", "junk_share"))
-            away = some & (d > CUTOFF)
-            layout = parts[:, [STATS.index(k) for k in ("list_share", "table_share", "junk_share")]].sum(1)
-            kind = np.where(tables > 0.5, "table", "list")
-            kind = np.where((tables > 0.5) & (lists > tables), "list", kind)
-            other = (junk > 0.5) & (junk >= lists) & (junk >= tables) | (d - layout > CUTOFF)
-            kind = np.where((tables > 0.5) | (lists > 0.5), kind, np.where(other, "junk", ""))
-            kind = np.where(away, kind, "")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([float(v) if s else None for v, s in zip(d, some)], pa.float64()),
-                    pa.array([p.tolist() if s else None for p, s in zip(parts, some)], pa.list_(pa.float64())), pa.array([k or None for k in kind.tolist()], pa.string()),
-                ],
-                ["doc_id", "distance", "contributions", "kind"],
-            )
-
-    return run, names
+            lang, x = np.array(b.column(1).to_pylist(), object), np.nan_to_num(_matrix(b, 2))
+            visible = np.nan_to_num(b.column(2 + len(STATS)).to_numpy(zero_copy_only=False).astype(float))
+            parts = prose.contributions(lang, x) * (visible / (visible + FEW_CHARS))[:, None]
+            parts[np.equal(lang, None)] = np.nan
+            d = parts.sum(1)
+            at = np.flatnonzero(d > CUTOFF)
+            kind = np.full(len(d), None, object)
+            if len(at):
+                use = [k if k in prose.center else "" for k in lang[at]]
+                echo = b.column(3 + len(STATS)).to_numpy(zero_copy_only=False)[at]
+                kind[at] = kinds(np.stack([prose.center[k] for k in use]), np.stack([prose.spread[k] for k in use]), x[at], echo)
+            none = np.isnan(d)
+            shares = pa.StructArray.from_arrays([pa.array(parts[:, k], pa.float64(), mask=none) for k in range(len(STATS))], list(STATS), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64(), mask=none), shares, pa.array(kind.tolist(), pa.string())], ["doc_id", "lang", "distance", "contributions", "kind"])
+
+    return run
 
 
 def judged(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """Statistics with distance, contribution of each statistic (in the order of STATS) and kind (null: prose)."""
+    """(doc_id, lang, distance, contributions, kind): squared distance from prose, each statistic's part of it, and kind (null: prose)."""
     stats = cut(statistics(documents, common_words))
-    run, names = _judge(fit_prose(stats))
-    return stats.select("doc_id", *names).mapInArrow(run, "doc_id bigint, distance double, contributions array<double>, kind string")
+    shares = ", ".join(f"{s}: double" for s in STATS)
+    return stats.select("doc_id", "lang", *STATS, "visible", "echo").mapInArrow(
+        _judge(fit_prose(stats)), f"doc_id bigint, lang string, distance double, contributions struct<{shares}>, kind string"
+    )
 
 
 def no_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Training-data operators against brute force and on edge cases."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -171,15 +173,51 @@ def test_sampling(spark):
     assert {(r.stratum, r.label) for r in S.unmet(e, t).collect()} == {("zz", 1)} and S.draw(e.where("false"), t).count() == 0
 
 
+def prose(r, words):
+    """Sentences in which about every other word is a common one."""
+    some = "committee report member town spring river paper number station winter letter question answer harbour table engine music valley copper season".split()
+    out = []
+    while words > 0:
+        n = int(r.integers(7, 16))
+        s = [str(r.choice("the and that it was for as in had they".split() if r.random() < 0.45 else some)) for _ in range(n)]
+        if n > 11:
+            s[4] += ","
+        out.append(" ".join(s).capitalize() + ".")
+        words -= n
+    return " ".join(out)
+
+
 def test_quality(spark):
-    prose = "The committee read the report and the members said that it was good for the town, as they had hoped in the spring."
-    docs = [(i, prose.replace("report", f"report {i}") * (1 + i % 4), "en") for i in range(60)]
-    docs += [(100, "\n".join(f"- item {i}" for i in range(20)), "en"), (101, "\n".join(f"{i},a{i},{i * 7},x" for i in range(20)), None), (102, "spam " * 200, "en"), (103, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" * 8, "de"), (104, None, "en"), (105, "", None), (106, " \n ", "en")]
+    r = np.random.default_rng(5)
+    docs = [(i, "\n\n".join(prose(r, int(r.integers(12, 90))) for _ in range(int(r.integers(1, 5)))), "en") for i in range(400)]
+    # a quarter in lines of fixed width, some with a short list
+    docs = [(i, "\n".join(textwrap.wrap(t, 72)) if r.random() < 0.25 else t, k) for i, t, k in docs]
+    docs = [(i, t + "\n- item one\n- item two\n" + prose(r, 80) if i % 20 == 7 else t, k) for i, t, k in docs]
+    bad = [(1000, "\n".join(f"- item {i}" for i in range(20)), "en"), (1001, "\n".join(f"{i},a{i},{i * 7},x" for i in range(20)), None), (1002, "spam " * 200, "en")]
+    bad += [(1003, "QUJDREVGR0hJSktMTU5PUFFSU1RVVVldYWVo" * 8, "de"), (1007, "click here\n" * 40, "en"), (1008, "#$%& {}~^ " * 30, "xx")]
+    empty = [(1004, None, "en"), (1005, "", None), (1006, " \n ", "en"), (None, "no id", "en")]
     common = spark.createDataFrame([("en", w) for w in "the and that it was for as in had they".split()], "lang string, word string")
-    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
-    assert {tuple(r) for r in Q.no_prose(d, common).collect()} == {(100, "list"), (101, "table"), (102, "junk"), (103, "junk")}
+    d = spark.createDataFrame(docs + bad + empty, "doc_id bigint, text string, lang string").withColumn("kind", F.lit("clash"))
+    want = {(1000, "list"), (1001, "table"), (1002, "junk"), (1003, "junk"), (1007, "junk"), (1008, "junk")}
+    assert {tuple(r) for r in Q.no_prose(d, common).collect()} == want
     assert Q.statistics(d, common).where("doc_id = 0").first().word_count == len(words(docs[0][1]))
+    got = Q.judged(d, common).where("doc_id is not null").collect()
+    assert len(got) == len(docs) + len(bad) + 3 and all((x.distance is None) == (x.doc_id in (1004, 1005, 1006)) for x in got)
+    assert all(abs(sum(x.contributions) - x.distance) < 1e-6 * (1 + x.distance) for x in got if x.distance is not None)
     assert Q.no_prose(d.where("false"), common).count() == 0
+    assert [x.distance for x in Q.judged(d.where("doc_id < 5"), common).collect()] == [None] * 5  # too few to tell prose from
+
+
+def test_prose_is_estimated_from_the_documents(spark):
+    """Spreads follow the data: the same documents with their long lines cut have other spreads, and none is a fixed value."""
+    r = np.random.default_rng(6)
+    docs = [(i, prose(r, int(r.integers(12, 200))), "en") for i in range(300)]
+    common = spark.createDataFrame([("en", w) for w in "the and that it was for as in had they".split()], "lang string, word string")
+    fit = Q.fit_prose(Q.statistics(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), common))
+    x = np.array([[len(words(t)), sum(w in "the and that it was for as in had they".split() for w in words(t)) / len(words(t))] for _, t, _ in docs])
+    at = [Q.STATS.index(s) for s in ("log_words", "common")]
+    assert np.allclose(fit.center["en"][at], [np.log1p(x[:, 0]).mean(), x[:, 1].mean()], atol=0.05)
+    assert np.allclose(fit.spread["en"][at], [np.log1p(x[:, 0]).std(), x[:, 1].std()], rtol=0.25)
 
 
 def test_sql(spark):
