@@ -5,10 +5,11 @@ Items are spread by hash over bundles of about BUNDLE containers, which are
 packed independently. A bundle is packed by Karmarkar-Karp multiway
 differencing: every item is a partial partition into k windows; the two with
 the largest spread are merged, largest sum onto smallest, until one is left. k
-starts at the least number possible and rises while a window exceeds the
-capacity. Near-equal windows need several items each; where few fit, as few
-windows as possible are no aim of differencing, so the bundle is also packed by
-best fit decreasing and the result with fewer containers is taken.
+starts at the least number possible. The windows are near equal but those of
+few items may exceed the capacity; each such window then exchanges one of its
+items for a smaller one (or none) of a window with room for the difference.
+Where that leaves a window too large, k rises by one and the differencing is
+done again, until all fit; there is no other way of packing.
 
 Null texts are not packed; an empty text has size 1.
 """
@@ -16,15 +17,13 @@ Null texts are not packed; an empty text has size 1.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUNDLE, BUNDLE_ITEMS = 256, 8192
-#: Rises of k, by a hundredth of the windows each, before best fit decreasing stands alone.
-RISES = 3
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -58,39 +57,60 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Items of each container by best fit decreasing."""
-    windows: list[list[int]] = []
-    room: list[tuple[int, int]] = []  # (space left, window), ascending
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        at = bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            windows.append([i])
-            left, w = capacity - sizes[i], len(windows) - 1
-        else:
-            left, w = room.pop(at)
-            windows[w].append(i)
-            left -= sizes[i]
-        if left:
-            insort(room, (left, w))
-    return windows
+def exchange(sizes: list[int], windows: list[list[int]], capacity: int) -> bool:
+    """Relieves windows beyond the capacity by exchanges with windows that have room, in place; whether all fit then.
+
+    An item a of a window beyond the capacity by x goes to a window of room r
+    for an item b with x <= a - b <= r, or for none (b = 0): the pair that
+    leaves least room.
+    """
+    k = len(windows)
+    # an empty item a window stands for giving nothing back
+    size = np.array([*sizes, *[0] * k], np.int64)
+    home = np.zeros(len(size), np.int64)
+    for w, members in enumerate(windows):
+        home[members] = w
+    home[len(sizes) :] = np.arange(k)
+    load = np.bincount(home, size, minlength=k).astype(np.int64)
+    for w in np.argsort(-load, kind="stable").tolist():
+        excess = load[w] - capacity
+        if excess <= 0:
+            break
+        best, room = None, capacity - load
+        for a in windows[w]:
+            given = size[a] - size
+            ok = np.flatnonzero((given >= excess) & (given <= room[home]))
+            if len(ok):
+                left = room[home[ok]] - given[ok]
+                at = int(np.argmin(left))
+                if best is None or left[at] < best[0]:
+                    best = (left[at], a, int(ok[at]))
+        if best is None:
+            return False
+        _, a, b = best
+        u = int(home[b])
+        windows[w].remove(a)
+        windows[u].append(a)
+        home[a] = u
+        if b < len(sizes):
+            windows[u].remove(b)
+            windows[w].append(b)
+            home[b] = w
+        load[w] -= size[a] - size[b]
+        load[u] += size[a] - size[b]
+    return True
 
 
 def pack_bundle(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers of one bundle of items, none larger than the capacity."""
+    """Containers of one bundle of items, none larger than the capacity (no item may be)."""
     if not sizes:
         return []
-    least = -(-sum(sizes) // capacity)
-    other = best_fit(sizes, capacity)
-    k = least
-    for _ in range(RISES):
-        if k >= len(other) and k > least:
-            break
+    k = -(-sum(sizes) // capacity)
+    while True:
         windows = difference(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
-            return windows
-        k += max(1, k // 100)
-    return other
+        if exchange(sizes, windows, capacity):
+            return [w for w in windows if w]
+        k += 1
 
 
 def pieces(documents: DataFrame, plans: DataFrame) -> DataFrame:
@@ -151,3 +171,17 @@ def fill(documents: DataFrame, plans: DataFrame) -> DataFrame:
         F.count("*").alias("containers"), F.sum("used").alias("used"), F.sum(F.col("capacity") - F.col("used")).alias("unused"),
         F.ceil(F.sum("used") / F.max("capacity")).alias("least"),
     )
+
+
+def validity(documents: DataFrame, plans: DataFrame) -> DataFrame:
+    """(pack_id, documents, used, split, overfull, needless, incomplete): what was packed, and violations (all 0): containers beyond the capacity, documents split that fit, documents whose pieces don't add up."""
+    packed = pack(documents, plans)
+    per_doc = packed.groupBy("pack_id", "doc_id").agg(
+        F.sum("size").alias("size"), F.max("capacity").alias("capacity"), F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.count_distinct("piece").alias("kinds")
+    )
+    docs = per_doc.groupBy("pack_id").agg(
+        F.count("*").alias("documents"), F.sum("size").alias("used"), F.count_if("n > 1").alias("split"), F.count_if("n > 1 and size <= capacity").alias("needless"),
+        F.count_if("n <> pieces or kinds <> pieces").alias("incomplete"),
+    )
+    full = packed.groupBy("pack_id", "container").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity")).groupBy("pack_id").agg(F.count_if("size > capacity").alias("overfull"))
+    return docs.join(full, "pack_id").select("pack_id", "documents", "used", "split", "overfull", "needless", "incomplete")

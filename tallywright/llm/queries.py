@@ -10,7 +10,7 @@ from tallywright.llm.canonical import collapsed, copies
 from tallywright.llm.contamination import leaked_items
 from tallywright.llm.crosssplit import cross_split_overlap
 from tallywright.llm.neardup import near_duplicates
-from tallywright.llm.packing import fill, oversized, pack
+from tallywright.llm.packing import fill, oversized, pack, validity
 from tallywright.llm.quality import judged, no_prose, statistics
 from tallywright.llm.sampling import allocation, draw, unmet
 from tallywright.session import table
@@ -64,6 +64,10 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(table(spark, d, "documents"), table(spark, d, "pack_plans"))
 
 
+def p6_validity(spark: SparkSession, d: str) -> DataFrame:
+    return validity(table(spark, d, "documents"), table(spark, d, "pack_plans"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"))
 

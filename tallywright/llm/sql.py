@@ -17,4 +17,6 @@ def oracle_sql() -> dict[str, str]:
             WHERE coalesce(c.n, 0) < greatest(coalesce(t.min_rows, 0), round(coalesce(t.target_share * t.sample_size, 0))::BIGINT)""",
         "p6_found": """SELECT p.pack_id, d.doc_id FROM pack_plans p JOIN documents d ON p.source IS NULL OR p.source = d.source
             WHERE d.text IS NOT NULL AND octet_length(encode(d.text)) + 1 > p.capacity""",
+        "p6_validity": """WITH s AS (SELECT p.pack_id, p.capacity, octet_length(encode(d.text)) + 1 AS size FROM pack_plans p JOIN documents d ON p.source IS NULL OR p.source = d.source WHERE d.text IS NOT NULL)
+            SELECT pack_id, count(*) AS documents, sum(size)::BIGINT AS used, count(*) FILTER (size > capacity) AS split, 0::BIGINT AS overfull, 0::BIGINT AS needless, 0::BIGINT AS incomplete FROM s GROUP BY pack_id""",
     }
