@@ -180,8 +180,8 @@ def validity(documents: DataFrame, plans: DataFrame) -> DataFrame:
         F.sum("size").alias("size"), F.max("capacity").alias("capacity"), F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.count_distinct("piece").alias("kinds")
     )
     docs = per_doc.groupBy("pack_id").agg(
-        F.count("*").alias("documents"), F.sum("size").alias("used"), F.count_if("n > 1").alias("split"), F.count_if("n > 1 and size <= capacity").alias("needless"),
-        F.count_if("n <> pieces or kinds <> pieces").alias("incomplete"),
+        F.count("*").alias("documents"), F.sum("size").alias("used"), F.count_if(F.expr("n > 1")).alias("split"), F.count_if(F.expr("n > 1 and size <= capacity")).alias("needless"),
+        F.count_if(F.expr("n <> pieces or kinds <> pieces")).alias("incomplete"),
     )
-    full = packed.groupBy("pack_id", "container").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity")).groupBy("pack_id").agg(F.count_if("size > capacity").alias("overfull"))
+    full = packed.groupBy("pack_id", "container").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity")).groupBy("pack_id").agg(F.count_if(F.expr("size > capacity")).alias("overfull"))
     return docs.join(full, "pack_id").select("pack_id", "documents", "used", "split", "overfull", "needless", "incomplete")
