@@ -202,10 +202,54 @@ def test_json_rules():
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet='ab",', max_size=14))
-def test_edits_cost_nothing_only_for_five_cells(raw):
-    cost, edits = P.cheapest_edits(raw)
+def test_csv_edits_cost_nothing_only_for_well_formed_cells(raw):
+    cost, edits = P.cheapest_edits(raw, P.Csv)
     cells = P.split_csv(raw)
-    assert (cost == 0) == (cells is not None and len(cells) == 5) and len(edits) == cost
+    assert (cost == 0) == (cells is not None) and len(edits) == cost
+    if cells is not None:
+        assert len(P.align(cells)) == abs(len(cells) - 5)
+
+
+def apply(raw, edits):
+    """raw with edits made, from the last to the first."""
+    for e in reversed(edits):
+        what, name, _, at = e.split()
+        char, at = {"quote": '"', "comma": ",", "colon": ":"}.get(name), int(at)
+        raw = raw[:at] + raw[at + 1 :] if what == "delete" else raw[:at] + char + raw[at:]
+    return raw
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet='a",', max_size=10))
+def test_csv_edits_make_a_record_well_formed(raw):
+    cost, edits = P.cheapest_edits(raw, P.Csv)
+    assert P.split_csv(apply(raw, edits)) is not None
+    # no single edit of a quote does what takes two
+    if cost > 1:
+        others = [raw[:i] + raw[i + 1 :] for i, c in enumerate(raw) if c == '"'] + [raw[:i] + '"' + raw[i:] for i in range(len(raw) + 1)]
+        assert all(P.split_csv(x) is None for x in others)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(['"', ",", ":", "{", "}", "[", "]", " ", "\n", "\\", "\\n", "\\u00e9", "a", "1", "-0.5e1", "true", "null", "01", "\x01", '{"a":1', '"b"', '["x,y"]']), max_size=9))
+def test_json_costs_nothing_only_if_strict(parts):
+    raw = "".join(parts)
+    try:
+        json.loads(raw)
+        strict = True
+    except ValueError:
+        strict = False
+    cost, edits = P.cheapest_edits(raw, P.Json)
+    assert (cost == 0) == strict and bool(edits) == (not strict)
+
+
+def test_edits_state_the_reason():
+    assert P.read_record('r1,0,0.5,,"open', False)[1:3] == ("quoting", 1)
+    assert P.read_record("r1,1,,t", False)[1:] == ("columns", 1, "insert cell label")  # 1 is a score, too
+    assert P.read_record("r1,0,0.5,,t,x", False)[1:3] == ("columns", 1)
+    assert P.read_record('{"row_id": "r1", "label": 0, "score": 1, "content_hash": "", "text": "",}', True)[1:] == ("quoting", 1, "delete comma at 71")
+    assert P.read_record('{row_id": "r1"}', True)[1:] == ("quoting", 1, "insert quote at 1")
+    assert P.read_record("r1,2,0.5,,t", False)[1:] == ("label", 1, "replace value label")
 
 
 def test_parse_extra_columns_and_empty(spark):
