@@ -10,16 +10,23 @@ is missing or put in between breaks one passage only, so at least one passage
 stands whole in the training row's normal form. Passages of rare words are one
 word long, those of frequent words as long as it takes to be selective.
 
-The passages are sharded by their first two words (their only one, if they have
-one). Aho-Corasick automata over the shards scan the training rows' sequences
-(of each, the parts that start with words of the shard); matched intervals are merged into the number of covered
-words of each evaluation row and training row. What sizes and signatures do not
-rule out is checked on the whole word sets.
+The passages are sharded by evaluation row. One shard at a time, of at most
+SHARD_PASSAGES passages, is sent to all tasks, which build an Aho-Corasick
+automaton of it and scan the normal forms of all training rows, in one narrow
+pass a shard. A passage may be found anywhere in a training row; the intervals
+matched there are merged into the number of covered words of each evaluation
+row and training row. What sizes and signatures do not rule out is checked on
+the whole word sets.
+
+Where the evaluation side is so large that it would take more than
+BROADCAST_SHARDS passes, both sides go to shards by their first words instead:
+passages, and of each training row the parts that start with words of the shard.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import mix64
+from tallywright.functions.text import chunks, mix64
 from tallywright.llm.neardup import _members, _sets_of
 from tallywright.llm.wordsets import Frequency, Sets, allowed, bucket, current_thresholds, i64, reach, u64
 from tallywright.session import broadcast_if_small, cut
@@ -36,8 +43,10 @@ from tallywright.session import broadcast_if_small, cut
 PASSAGE_ROWS = 16
 #: Most words of a passage; of a longer or heavier one its beginning is searched.
 PASSAGE_WORDS = 7
-#: Passages in one automaton (about 100 MB).
-SHARD_PASSAGES = 250_000
+#: Passages in one automaton (about 150 MB).
+SHARD_PASSAGES = 800_000
+#: Passes over the training rows, each with a shard of passages, before both sides are shuffled to shards.
+BROADCAST_SHARDS = 16
 #: Code points scanned, and pairs compared, at a time.
 SCAN_CHARS, SCAN_PAIRS = 2_000_000, 2_000_000
 BROADCAST_IDS = 1_000_000
@@ -168,11 +177,7 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
             code = np.array([code_of.get(s, -1) for s in b.column(1).to_pylist()], np.int64)
             texts = b.column(2).to_pylist()
             sets = Sets(texts)
-            fresh = np.zeros(len(texts), bool)
-            for i, k in enumerate(zip(code.tolist(), sets.ident.tolist())):
-                if k not in seen and k[0] >= 0:
-                    seen.add(k)
-                    fresh[i] = True
+            fresh = _fresh(code, sets, seen)
             ids = b.column(0).to_numpy(zero_copy_only=False)
             s = _Sequences(sets, freq, shards)
             limit = np.array([*limits, 1.0])[code]
@@ -205,6 +210,71 @@ def _spread(splits: list[str], limits: list[float], train: str, freq: Frequency,
     return run
 
 
+def _prepare(splits: list[str], limits: list[float], train: str, freq: Frequency):
+    """Arrow kernel: (row_id, split, text) -> passages of evaluation rows (kind 0), normal forms of training rows (kind 1), once a class and task."""
+    enough = float(np.log(max(freq.rows / PASSAGE_ROWS, 2.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code_of, seen = {s: i for i, s in enumerate(splits)} | {train: len(splits)}, set()
+        for b in batches:
+            code = np.array([code_of.get(s, -1) for s in b.column(1).to_pylist()], np.int64)
+            sets = Sets(b.column(2).to_pylist())
+            fresh = _fresh(code, sets, seen)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            s = _Sequences(sets, freq, 1)
+            meta = sets.n << 32 | np.minimum(s.rare, 0xFFFF) << 16 | code
+            limit = np.array([*limits, 1.0])[code]
+            at, length, rank = _passages(s, sets, reach(sets.n, limit) + 1, allowed(sets.n, sets.n, limit) + 1, enough)
+            ok = np.flatnonzero((fresh & (code < len(splits)))[s.row[at]])
+            ok = ok[np.argsort(s.row[at[ok]], kind="stable")]
+            row, strings = s.strings(s.row[at[ok]], at[ok], length[ok], np.minimum(rank[ok] + 1, _RANKS - 1) + _GAP)
+            yield _prepared(0, ids, meta, sets, row, np.bincount(s.row[at[ok]], minlength=len(code))[row], strings)
+            row = np.flatnonzero(fresh & (code == len(splits)) & (sets.n > 0))
+            size = np.bincount(s.row, (s.chars != 0).sum(1), minlength=len(code)).astype(np.int64)
+            end, text = np.cumsum(size), s.chars.reshape(-1)
+            text = text[text != 0].tobytes().decode("ascii")
+            yield _prepared(1, ids, meta, sets, row, sets.n[row], [text[e - z : e] for e, z in zip(end[row].tolist(), size[row].tolist())])
+
+    return run
+
+
+def _prepared(kind: int, ids, meta, sets: Sets, row: np.ndarray, parts: np.ndarray, strings: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(row), kind, np.int32)), i64(ids[row]), i64(meta[row]), i64(sets.sig[row]), pa.array(parts.astype(np.int32)), pa.array(strings, pa.string())],
+        ["kind", "row_id", "meta", "sig", "parts", "passages"],
+    )
+
+
+def _fresh(code: np.ndarray, sets: Sets, seen: set) -> np.ndarray:
+    """Rows of a known split whose split and word set this task has not had yet."""
+    fresh = np.zeros(len(code), bool)
+    for i, k in enumerate(zip(code.tolist(), sets.ident.tolist())):
+        if k not in seen and k[0] >= 0:
+            seen.add(k)
+            fresh[i] = True
+    return fresh
+
+
+#: The automaton a Python worker built last: tasks of one shard follow each other.
+_LAST: dict[str, _Automaton] = {}
+
+
+def _scan_all(shard, key: str, limits: list[float]):
+    """Arrow kernel over normal forms of training rows: the pairs that a broadcast shard of passages finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _LAST:
+            _LAST.clear()
+            _LAST[key] = _Automaton(*shard.value, np.array(limits))
+        automaton = _LAST[key]
+        for b in batches:
+            ids, meta, sig, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), u64(b.column(2)), b.column(3).to_pylist()
+            for lo, hi in chunks(texts, SCAN_CHARS):
+                yield from automaton.scan(texts[lo:hi], ids[lo:hi], meta[lo:hi], sig[lo:hi], whole=True)
+
+    return run
+
+
 class _Automaton:
     """Aho-Corasick automaton over the passages of one shard."""
 
@@ -240,18 +310,27 @@ class _Automaton:
         self.sorted = cell[order] * 1e8 + call[order]
         self.first = np.searchsorted(cell[order], np.arange(len(index) * self.codes))
 
-    def scan(self, texts: list[str], ids, meta, sig) -> Iterator[pa.RecordBatch]:
-        joined = chr(_GAP) + "".join(texts)
+    def scan(self, texts: list[str], ids, meta, sig, whole: bool = False) -> Iterator[pa.RecordBatch]:
+        """Pairs found in texts: whole normal forms, or parts of them that begin where a passage may."""
+        joined = chr(_GAP) + "".join(t + chr(_GAP) if whole else t for t in texts)
         hits = np.array(list(self.trie.iter(joined)), np.int64).reshape(-1, 2)
         if not len(hits):
             return
-        start = hits[:, 0] - self.size[hits[:, 1]]
-        chars = np.frombuffer(joined.encode("ascii"), np.uint8)
-        hits = hits[chars[start] == _GAP]
-        row = np.searchsorted(np.cumsum([len(t) for t in texts]), hits[:, 0] - 1, side="right")
-        once = np.unique(hits[:, 1] * len(texts) + row, return_index=True)[1]
-        hits, row = hits[once], row[once]
         n, rare = meta >> 32, meta >> 16 & 0xFFFF
+        start = hits[:, 0] - self.size[hits[:, 1]]
+        ends = np.cumsum([len(t) + whole for t in texts])
+        row = np.searchsorted(ends, hits[:, 0] - 1, side="right")
+        if whole:  # rare words have six letters and come first, the others three; a hit within a word is none
+            inside = start - np.append(0, ends)[row]
+            late = inside - 6 * rare[row]
+            word = np.where(late < 0, inside // 6, rare[row] + late // 3)
+            ok = np.where(late < 0, inside % 6, late % 3) == 0
+            hits, row, word = hits[ok], row[ok], word[ok]
+        else:
+            hits, row = (x[np.frombuffer(joined.encode("ascii"), np.uint8)[start] == _GAP] for x in (hits, row))
+            once = np.unique(hits[:, 1] * len(texts) + row, return_index=True)[1]
+            hits, row = hits[once], row[once]
+            word = np.full(len(hits), -1)
         for code in range(self.codes):
             cell = hits[:, 1] * self.codes + code
             offer = 1 + self.slope[code] * n[row] - rare[row] + 1e-6
@@ -261,25 +340,36 @@ class _Automaton:
             while lo < len(some):
                 hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCAN_PAIRS, side="right")))
                 x = some[lo:hi]
-                yield from self._pairs(self.first[cell[x]], count[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code])
+                yield from self._pairs(self.first[cell[x]], count[x], word[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code])
                 lo = hi
 
-    def _pairs(self, first, c, words, row, ids, n, sig, t) -> Iterator[pa.RecordBatch]:
+    def _pairs(self, first, c, word, words, row, ids, n, sig, t) -> Iterator[pa.RecordBatch]:
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         e, row = self.posting[np.repeat(first, c) + at], np.repeat(row, c)
         apart = np.bitwise_count(self.sig[e] ^ sig[row])
-        ok = np.flatnonzero(apart <= (1 - t) / (1 + t) * (self.n[e] + n[row]) + 1e-6)
-        e, row, words = e[ok], row[ok], np.repeat(words, c)[ok]
-        ok = np.minimum(self.n[e], n[row]) >= t * np.maximum(self.n[e], n[row]) - 1e-9
-        e, row, words = e[ok], row[ok], words[ok]
+        ok = (apart <= (1 - t) / (1 + t) * (self.n[e] + n[row]) + 1e-6) & (np.minimum(self.n[e], n[row]) >= t * np.maximum(self.n[e], n[row]) - 1e-9)
+        e, row, word, words = e[ok], row[ok], np.repeat(word, c)[ok], np.repeat(words, c)[ok]
         if len(e):
-            pair, at = np.unique(np.stack([e, row]), axis=1, return_inverse=True)
+            pair, which = np.unique(np.stack([e, row]), axis=1, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(self.code[pair[0]].astype(np.int32)), i64(self.ids[pair[0]]), i64(ids[pair[1]]), i64(np.bincount(at.reshape(-1), words).astype(np.int64))],
+                [pa.array(self.code[pair[0]].astype(np.int32)), i64(self.ids[pair[0]]), i64(ids[pair[1]]), i64(covered(which.reshape(-1), word, words, pair.shape[1]))],
                 ["code", "row_id", "train_id", "covered"],
             )
 
 
+def covered(pair: np.ndarray, word: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Words of each pair's training row in the union of its intervals (word, words); intervals without a place (-1) are apart."""
+    order = np.lexsort((word, pair))
+    pair, word, words = pair[order], word[order], words[order]
+    end = word + words
+    # the furthest end of the pair's earlier intervals: ends rise by pair, so a running maximum does not leave a pair
+    far = np.maximum.accumulate(end + pair * (1 << 40)) - pair * (1 << 40)
+    before = np.append(0, far[:-1])
+    before[np.append(True, pair[1:] != pair[:-1])] = 0
+    new = np.where(word < 0, words, np.maximum(end - np.maximum(word, before), 0))
+    return np.bincount(pair, new, minlength=n).astype(np.int64)
+
+
 def _scan(limits: list[float]):
     """Arrow kernel over rows sorted by part: builds each shard's automaton, then scans the training parts with it."""
     limit = np.array(limits)
@@ -329,8 +419,11 @@ class CrossSplitOverlap:
     training rows, or an empty table, give empty results.
     """
 
-    def __init__(self, rows: DataFrame, thresholds: dict[str, float], train: str = "train"):
+    def __init__(self, rows: DataFrame, thresholds: dict[str, float], train: str = "train", shard_passages: int = SHARD_PASSAGES, broadcast_shards: int = BROADCAST_SHARDS):
         self.splits = [s for s in thresholds if s != train]
+        if len(self.splits) >= 1 << 16:
+            raise ValueError("at most 65,535 splits")
+        self.shard_passages, self.broadcast_shards = shard_passages, broadcast_shards
         self.limits = [float(thresholds[s]) for s in self.splits]
         self.train, self.all = train, rows
         self.rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), "split", "text").where(
@@ -339,10 +432,33 @@ class CrossSplitOverlap:
         self._flagged: DataFrame | None = None
 
     def coverage(self) -> DataFrame:
-        """(code, row_id, train_id, covered): words of passages of an evaluation row found in a training row; one row a class on either side and task."""
+        """(code, row_id, train_id, covered): words of an evaluation row's passages found in a training row; one row a class on either side and task."""
         freq = Frequency.of(self.rows.select("text"))
-        wanted = self.rows.where(F.col("split") != self.train).count() * 15
-        shards = max(4, -(-wanted // SHARD_PASSAGES))
+        prepared = cut(self.rows.mapInArrow(_prepare(self.splits, self.limits, self.train, freq), "kind int, row_id bigint, meta bigint, sig bigint, parts int, passages string"))
+        wanted = prepared.where("kind = 0").agg(F.sum("parts")).first()[0] or 0
+        shards = max(1, -(-wanted // self.shard_passages))
+        if shards > self.broadcast_shards:
+            return self._shuffled(freq, wanted)
+        passages = prepared.where("kind = 0").select("row_id", "meta", "sig", "passages", F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard"))
+        normal = prepared.where("kind = 1").select("row_id", "meta", "sig", "passages")
+        found, sc = None, self.rows.sparkSession.sparkContext
+        for k in range(shards):
+            held: tuple[list, list, list, list] = ([], [], [], [])
+            # at most about SHARD_PASSAGES passages of evaluation rows
+            got = passages.where(F.col("shard") == k).select("row_id", "meta", "sig", "passages").toArrow()
+            if not got.num_rows:
+                continue
+            for x, c in zip(held, (got["row_id"].to_numpy(), got["meta"].to_numpy(), got["sig"].to_numpy().view(np.uint64), got["passages"].to_pylist())):
+                x.append(c)
+            part = normal.mapInArrow(_scan_all(sc.broadcast(held), f"{id(self)}-{uuid.uuid4()}", self.limits), "code int, row_id bigint, train_id bigint, covered bigint")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            return prepared.where("false").selectExpr("kind as code", "row_id", "row_id as train_id", "row_id as covered")
+        # a row's passages are in one shard and a training row in one task, but hits are taken in blocks
+        return found.groupBy("code", "row_id", "train_id").agg(F.sum("covered").alias("covered"))
+
+    def _shuffled(self, freq: Frequency, wanted: int) -> DataFrame:
+        shards = max(4, -(-wanted // self.shard_passages))
         spread = self.rows.mapInArrow(
             _spread(self.splits, self.limits, self.train, freq, shards), "part int, row_id bigint, meta bigint, sig bigint, passages string"
         )
@@ -356,7 +472,7 @@ class CrossSplitOverlap:
         return found.groupBy("code", "row_id", "train_id").agg(F.sum("covered").alias("covered"))
 
     def overlaps(self) -> DataFrame:
-        """(code, row_id, train_id, overlap): checked pairs of class representatives."""
+        """(code, row_id, train_id, overlap, covered, words): checked pairs of class representatives; covered of the evaluation row's words stand in found passages."""
         pairs = cut(self.coverage())
         ids = cut(pairs.select("row_id").union(pairs.select("train_id")).distinct())
         sets = (
@@ -371,27 +487,31 @@ class CrossSplitOverlap:
             .withColumn("both", F.size(F.array_intersect("wa", "wb")))
             .withColumn("overlap", F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")))
             .where(F.col("overlap") >= limit)
-            .select("code", "row_id", "train_id", "overlap")
+            .select("code", "row_id", "train_id", "overlap", F.col("covered"), F.size("wa").alias("words"))
         )
 
-    def flagged(self) -> DataFrame:
-        """(split, row_id): every evaluation row with an overlapping training row, copies included."""
+    def covered_rows(self) -> DataFrame:
+        """(split, row_id, coverage): every evaluation row with an overlapping training row, copies included, and the largest share of its words that passages found in one such row cover."""
         if self._flagged is None:
             if not self.splits:
-                return self.rows.where("false").select("split", "row_id")
-            hits = self.overlaps().select("row_id").distinct()
+                return self.rows.where("false").select("split", "row_id", F.lit(0.0).alias("coverage"))
+            hits = self.overlaps().groupBy("row_id").agg(F.max(F.col("covered") / F.col("words")).alias("coverage"))
             members = self.rows.where(F.col("split") != self.train).mapInArrow(_members(self.splits), "code int, ident bigint, row_id bigint")
-            classes = members.join(hits, "row_id", "left_semi").select("code", "ident").distinct()
+            classes = members.join(hits, "row_id").groupBy("code", "ident").agg(F.max("coverage").alias("coverage"))
             split = F.element_at(F.array(*[F.lit(s) for s in self.splits]), F.col("code") + 1)
-            self._flagged = members.join(classes, ["code", "ident"], "left_semi").select(split.alias("split"), "row_id").distinct()
+            self._flagged = members.join(classes, ["code", "ident"]).select(split.alias("split"), "row_id", "coverage").distinct()
         return self._flagged
 
+    def flagged(self) -> DataFrame:
+        """(split, row_id): every evaluation row with an overlapping training row, copies included."""
+        return self.covered_rows().select("split", "row_id").distinct()
+
     def report(self) -> DataFrame:
-        """(split, source, drop_indices, n_affected): the flagged rows by split and source (null sources together)."""
-        source = self.all.select(F.col("row_id").cast("bigint").alias("row_id"), "source")
+        """(split, source, drop_indices, n_affected, mean_coverage): the flagged rows by split and source (null sources together)."""
+        source = self.all.select(F.col("row_id").cast("bigint").alias("row_id"), "source").distinct()
         return (
-            self.flagged().join(source, "row_id").groupBy("split", "source")
-            .agg(F.sort_array(F.collect_set("row_id")).alias("drop_indices"), F.count_distinct("row_id").alias("n_affected"))
+            self.covered_rows().join(source, "row_id").groupBy("split", "source")
+            .agg(F.sort_array(F.collect_set("row_id")).alias("drop_indices"), F.count_distinct("row_id").alias("n_affected"), F.avg("coverage").alias("mean_coverage"))
         )
 
 

@@ -13,7 +13,7 @@ from tallywright.llm import contamination as T
 from tallywright.llm import packing as K
 from tallywright.llm import quality as Q
 from tallywright.llm import sampling as S
-from tallywright.llm.crosssplit import CrossSplitOverlap
+from tallywright.llm.crosssplit import CrossSplitOverlap, covered
 from tallywright.llm.neardup import NearDuplicates
 from tallywright.llm.wordsets import current_thresholds
 
@@ -63,18 +63,25 @@ def test_hot_keys_are_indexed_again(spark, hot):
     assert {tuple(r) for r in nd.pairs().collect()} == want
 
 
-@pytest.mark.parametrize("t", [0.9, 0.75, 0.45])
-def test_cross_split_finds_all(spark, t):
+@pytest.mark.parametrize(("t", "limits"), [(0.9, {}), (0.75, {"shard_passages": 200}), (0.45, {}), (0.75, {"shard_passages": 200, "broadcast_shards": 0})])
+def test_cross_split_finds_all(spark, t, limits):
+    """With one shard, with several passes, and with both sides shuffled."""
     df, out = rows(spark, 1)
-    c = CrossSplitOverlap(df, {"dev": t, "test": 0.8})
+    c = CrossSplitOverlap(df, {"dev": t, "test": 0.8}, **limits)
     train = [frozenset(words(x)) for i, s, x, *_ in out if s == "train"]
     want = {(s, i) for i, s, x, *_ in out if i is not None and s in ("dev", "test") and any(overlap(frozenset(words(x)), b) >= (t if s == "dev" else 0.8) for b in train)}
     assert {tuple(r) for r in c.flagged().collect()} == want
-    assert sum(r.n_affected for r in c.report().collect()) == len(want)
+    assert sum(r.n_affected for r in c.report().collect()) == len(want) and all(0 < r.mean_coverage <= 1 for r in c.report().collect())
     assert CrossSplitOverlap(df.where("split = 'dev'"), {"dev": t}).flagged().count() == 0
 
 
-def test_cross_split_finds_long_rows_of_frequent_words(spark):
+def test_intervals_are_merged():
+    pair, word, size = np.array([0, 0, 0, 1, 1, 1, 2]), np.array([4, 0, 5, -1, -1, 9, 7]), np.array([3, 2, 4, 2, 3, 1, 2])
+    assert covered(pair, word, size, 4).tolist() == [7, 6, 2, 0]
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_shards": 0}])
+def test_cross_split_finds_long_rows_of_frequent_words(spark, limits):
     """Passages that weigh more than a scanned window: the rare words differ and a word of an early passage is missing."""
     r = np.random.default_rng(5)
     out = []
@@ -86,7 +93,7 @@ def test_cross_split_finds_long_rows_of_frequent_words(spark):
     sets = [(i, s, frozenset(words(x))) for i, s, x in out]
     want = {("dev", i) for i, s, a in sets if s == "dev" and any(u == "train" and overlap(a, b) >= 0.9 for _, u, b in sets)}
     df = spark.createDataFrame(out, "row_id bigint, split string, text string")
-    got = {tuple(x) for x in CrossSplitOverlap(df, {"dev": 0.9}).flagged().collect()}
+    got = {tuple(x) for x in CrossSplitOverlap(df, {"dev": 0.9}, **limits).flagged().collect()}
     assert len(want) > 500 and got == want
 
 
