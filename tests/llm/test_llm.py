@@ -109,7 +109,21 @@ def test_record_notations_are_one(spark):
     assert len(set(C.canonical_forms(FORMS))) == 1
     assert C.canonical_forms(["user: a", "usera", None, " ", "a B", "A,b!"])[2:4] == [None, None]
     assert len(set(C.canonical_forms(["user: a", "usera"]))) == 2 and len(set(C.canonical_forms(["a B", "A,b!", "ａb"]))) == 1
-    assert C.record_fields("user interface: a, b") is None and C.record_fields('{"user": 1, "other": 2}') is None
+    assert C.record_fields("user interface: a, b") is None and C.record_fields("Note: one line") is None and C.record_fields("see http://x\nand: more") is None
+    # names need not be known where the notation tells
+    assert len(set(C.canonical_forms(['{"name": "Ann B", "id": 7}', '{"id": "7", "NAME": "ann-b"}', "id: 7\nname: Ann B", "Name = ann b; id = 7"]))) == 1
+    assert C.record_fields("note: a\nnote: b") is None and C.record_fields("name: a\nno field here") is None
+
+
+def test_repeats_in_several_passes(spark):
+    """Small filters force passes by hash range; the rows let through hold all repeats."""
+    r = np.random.default_rng(2)
+    h = r.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    h[1000:2000] = h[:1000]
+    df = spark.createDataFrame([(i, int(x), 1) for i, x in enumerate(h)], "id bigint, h1 bigint, h2 bigint")
+    for bits in (1 << 20, 1 << 12):
+        got = {x.id for x in C.possible_repeats(df, len(h), max_bits=bits).collect()}
+        assert set(range(2000)) <= got and len(got) < 3000
 
 
 def test_copies(spark):
@@ -166,6 +180,7 @@ def test_leaks_match_brute_force(spark):
 
     want = {(i, f"i{k}") for i, t in docs for k, x in enumerate(item) if held(t.split(), x.split())}
     assert {tuple(x) for x in T.leaked_items(d, items).collect()} == want and want
+    assert {tuple(x) for x in T.leaked_items(d, items, shard_words=60).collect()} == want  # several passes
     assert T.leaked_items(d, items.where("false")).count() == 0
 
 
