@@ -6,9 +6,10 @@ segments: what two tasks saw once each was seen again. The second lets through
 the rows whose hash may have been seen again; only these are shuffled and
 grouped exactly. All others are singletons.
 
-The filters have at most 2^28 bits (32 MB), so the merged one may be broadcast.
-Beyond about 20 million rows a fuller filter lets more singletons through to
-the exact grouping; results do not change.
+A filter has at most MAX_BITS bits (32 MB), so the merged one may be broadcast,
+and BITS_PER_ROW bits a row. Where the rows would need more, they are taken in
+as many passes over ranges of the hash, one filter at a time, so the share of
+singletons that are let through stays the same at any size.
 """
 
 from __future__ import annotations
@@ -32,16 +33,24 @@ from tallywright.session import cut
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 12, 1 << 20, 1 << 28
 SEGMENT = 1 << 16  # bytes
 
-#: Field names of flat records (fixed values).
+#: Field names by which even a text of one field, or one whose values hold further lines, is known as a record (fixed values).
 FIELDS = ("user", "context", "tool", "reply", "locale")
-_NAMES = "|".join(FIELDS)
-_MAYBE = re.compile(rf"\W*(?:{_NAMES})\W", re.I)
-_LINE = re.compile(rf"^[^\S\n]*({_NAMES})[^\S\n]*:", re.I | re.M)
-_PART = re.compile(rf"(?:\A|[|;])\s*({_NAMES})\s*=", re.I)
+_KNOWN = "|".join(FIELDS)
+_MAYBE = re.compile(r'\W*\w{1,30}["\s]*[:=]')
+_LINE = re.compile(rf"^[^\S\n]*({_KNOWN})[^\S\n]*:", re.I | re.M)
+_PART = re.compile(rf"(?:\A|[|;])\s*({_KNOWN})\s*=", re.I)
+#: Names of any other record: a letter, then letters, digits and underscores; every line or part has one.
+_ANY_LINE = re.compile(r"[^\S\n]*([^\W\d_]\w{0,29})[^\S\n]*:(?!//)(.*)")
+_ANY_PART = re.compile(r"\s*([^\W\d_]\w{0,29})\s*=(.*)", re.S)
 
 
 def record_fields(text: str) -> list[tuple[str, str]] | None:
-    """Fields of a flat record in any of its notations, or None for a plain text."""
+    """Fields of a flat record in any of its notations, or None for a plain text.
+
+    A JSON object is a record whatever its names. Lines and parts are one if
+    they begin with a name of FIELDS, or if there are two or more, all have the
+    form of a field, and no name is repeated.
+    """
     if not _MAYBE.match(text):
         return None
     bare = text.strip()
@@ -52,13 +61,17 @@ def record_fields(text: str) -> list[tuple[str, str]] | None:
             return None
         if not isinstance(pairs, list) or not pairs or not all(isinstance(p, tuple) for p in pairs):
             return None
-        named = [(k.strip().lower(), v if isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in pairs]
-        return named if all(k in FIELDS for k, _ in named) else None
+        return [(k.strip().lower(), v if isinstance(v, str) else json.dumps(v, sort_keys=True)) for k, v in pairs]
     for pattern in (_PART, _LINE):
         cuts = list(pattern.finditer(bare))
         if cuts and cuts[0].start() == 0:
             ends = [*(m.start() for m in cuts[1:]), len(bare)]
             return [(m[1].lower(), bare[m.end() : e]) for m, e in zip(cuts, ends)]
+    for pattern, pieces in ((_ANY_PART, re.split("[|;]", bare)), (_ANY_LINE, [x for x in bare.splitlines() if x.strip()])):
+        if len(pieces) > 1:
+            found = [pattern.fullmatch(x) for x in pieces]
+            if all(found) and len({m[1].lower() for m in found}) == len(found):
+                return [(m[1].lower(), m[2]) for m in found]
     return None
 
 
@@ -146,11 +159,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def possible_repeats(df: DataFrame, rows: int, h: str = "h1") -> DataFrame:
-    """The rows of df whose hash may occur more than once: all that do and a few others."""
+def possible_repeats(df: DataFrame, rows: int, h: str = "h1", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of df whose hash may occur more than once: all that do and a few others, kept in the checkpoint folder."""
     bits = MIN_BITS
-    while bits < min(rows * BITS_PER_ROW, MAX_BITS):
+    while bits < min(rows * BITS_PER_ROW, max_bits):
         bits *= 2
+    bits = min(bits, max_bits)
+    passes = max(1, -(-rows * BITS_PER_ROW // bits))
+    found = None
+    for k in range(passes):
+        # the bits that choose the pass are not those of the probes
+        mine = df.where(F.pmod(F.shiftrightunsigned(F.col(h), 36), F.lit(passes)) == k) if passes > 1 else df
+        part = _possible_repeats(mine, bits, h)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _possible_repeats(df: DataFrame, bits: int, h: str) -> DataFrame:
     merged = (
         df.select(h).mapInArrow(_fill(bits), "part int, once binary, again binary")
         .repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, again binary")
@@ -167,14 +192,16 @@ def possible_repeats(df: DataFrame, rows: int, h: str = "h1") -> DataFrame:
         p, q = _probes(x.to_numpy().view(np.uint64), bits)
         return pd.Series(((where[p >> 3] >> (p & 7).astype(np.uint8)) & (where[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool))
 
-    return df.where(again(F.col(h)))
+    out = cut(df.where(again(F.col(h))))
+    shared.unpersist()
+    return out
 
 
 def text_hashes(rows: DataFrame, row_id: str = "row_id", text: str = "text") -> DataFrame:
     """(id, h1, h2): the 128-bit hash of the canonical form of every text with words; null ids are left out."""
-    return rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0").mapInArrow(
-        _hash_texts, "id bigint, h1 bigint, h2 bigint"
-    )
+    found = rows.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and length(text) > 0")
+    # 24 bytes a row are kept rather than texts read again in each pass
+    return cut(found.mapInArrow(_hash_texts, "id bigint, h1 bigint, h2 bigint"))
 
 
 def digest(c: str = "content_hash"):
@@ -196,7 +223,7 @@ def prediction_keys(predictions: DataFrame) -> DataFrame:
 
 def _groups(df: DataFrame, rows: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Possible repeats (kept in the checkpoint folder), and kept id and count of each group of them."""
-    some = cut(possible_repeats(df, rows))
+    some = possible_repeats(df, rows)
     return some, some.groupBy(*keys).agg(F.min("id").alias("kept_id"), F.count_distinct("id").alias("copies"))
 
 
