@@ -47,6 +47,8 @@ PASSAGE_WORDS = 7
 SHARD_PASSAGES = 800_000
 #: Passes over the training rows, each with a shard of passages, before both sides are shuffled to shards.
 BROADCAST_SHARDS = 16
+#: Training rows a task scans at most.
+TASK_ROWS = 2_000_000
 #: Code points scanned, and pairs compared, at a time.
 SCAN_CHARS, SCAN_PAIRS = 2_000_000, 2_000_000
 BROADCAST_IDS = 1_000_000
@@ -228,20 +230,21 @@ def _prepare(splits: list[str], limits: list[float], train: str, freq: Frequency
             ok = np.flatnonzero((fresh & (code < len(splits)))[s.row[at]])
             ok = ok[np.argsort(s.row[at[ok]], kind="stable")]
             row, strings = s.strings(s.row[at[ok]], at[ok], length[ok], np.minimum(rank[ok] + 1, _RANKS - 1) + _GAP)
-            yield _prepared(0, ids, meta, sets, row, np.bincount(s.row[at[ok]], minlength=len(code))[row], strings)
-            row = np.flatnonzero(fresh & (code == len(splits)) & (sets.n > 0))
             size = np.bincount(s.row, (s.chars != 0).sum(1), minlength=len(code)).astype(np.int64)
             end, text = np.cumsum(size), s.chars.reshape(-1)
             text = text[text != 0].tobytes().decode("ascii")
-            yield _prepared(1, ids, meta, sets, row, sets.n[row], [text[e - z : e] for e, z in zip(end[row].tolist(), size[row].tolist())])
+            normal = lambda row: [text[e - z : e] for e, z in zip(end[row].tolist(), size[row].tolist())]
+            yield _prepared(0, ids, meta, sets, row, np.bincount(s.row[at[ok]], minlength=len(code))[row], strings, normal(row))
+            row = np.flatnonzero(fresh & (code == len(splits)) & (sets.n > 0))
+            yield _prepared(1, ids, meta, sets, row, sets.n[row], [None] * len(row), normal(row))
 
     return run
 
 
-def _prepared(kind: int, ids, meta, sets: Sets, row: np.ndarray, parts: np.ndarray, strings: list[str]) -> pa.RecordBatch:
+def _prepared(kind: int, ids, meta, sets: Sets, row: np.ndarray, parts: np.ndarray, strings: list, normal: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(row), kind, np.int32)), i64(ids[row]), i64(meta[row]), i64(sets.sig[row]), pa.array(parts.astype(np.int32)), pa.array(strings, pa.string())],
-        ["kind", "row_id", "meta", "sig", "parts", "passages"],
+        [pa.array(np.full(len(row), kind, np.int32)), i64(ids[row]), i64(meta[row]), i64(sets.sig[row]), pa.array(parts.astype(np.int32)), pa.array(strings, pa.string()), pa.array(normal, pa.string())],
+        ["kind", "row_id", "meta", "sig", "parts", "passages", "normal"],
     )
 
 
@@ -259,14 +262,18 @@ def _fresh(code: np.ndarray, sets: Sets, seen: set) -> np.ndarray:
 _LAST: dict[str, _Automaton] = {}
 
 
+def _built(key: str, shard, limits: list[float]) -> _Automaton:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = _Automaton(*shard.value[:4], np.array(limits), shard.value[4])
+    return _LAST[key]
+
+
 def _scan_all(shard, key: str, limits: list[float]):
     """Arrow kernel over normal forms of training rows: the pairs that a broadcast shard of passages finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LAST:
-            _LAST.clear()
-            _LAST[key] = _Automaton(*shard.value, np.array(limits))
-        automaton = _LAST[key]
+        automaton = _built(key, shard, limits)
         for b in batches:
             ids, meta, sig, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), u64(b.column(2)), b.column(3).to_pylist()
             for lo, hi in chunks(texts, SCAN_CHARS):
@@ -278,7 +285,7 @@ def _scan_all(shard, key: str, limits: list[float]):
 class _Automaton:
     """Aho-Corasick automaton over the passages of one shard."""
 
-    def __init__(self, ids: list, meta: list, sig: list, passages: list[list[str]], limit: np.ndarray):
+    def __init__(self, ids: list, meta: list, sig: list, passages: list[list[str]], limit: np.ndarray, normal: list[str] | None = None):
         import ahocorasick
 
         self.ids, self.sig = np.concatenate(ids), np.concatenate(sig)
@@ -309,6 +316,7 @@ class _Automaton:
         self.posting = holder[order]
         self.sorted = cell[order] * 1e8 + call[order]
         self.first = np.searchsorted(cell[order], np.arange(len(index) * self.codes))
+        self.word_first, self.word = _words_of(normal, self.n, rare) if normal is not None else (None, None)
 
     def scan(self, texts: list[str], ids, meta, sig, whole: bool = False) -> Iterator[pa.RecordBatch]:
         """Pairs found in texts: whole normal forms, or parts of them that begin where a passage may."""
@@ -317,6 +325,7 @@ class _Automaton:
         if not len(hits):
             return
         n, rare = meta >> 32, meta >> 16 & 0xFFFF
+        words_of = _words_of(texts, n, rare) if whole else None
         start = hits[:, 0] - self.size[hits[:, 1]]
         ends = np.cumsum([len(t) + whole for t in texts])
         row = np.searchsorted(ends, hits[:, 0] - 1, side="right")
@@ -340,23 +349,62 @@ class _Automaton:
             while lo < len(some):
                 hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCAN_PAIRS, side="right")))
                 x = some[lo:hi]
-                yield from self._pairs(self.first[cell[x]], count[x], word[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code])
+                yield from self._pairs(self.first[cell[x]], count[x], word[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code], words_of)
                 lo = hi
 
-    def _pairs(self, first, c, word, words, row, ids, n, sig, t) -> Iterator[pa.RecordBatch]:
+    def _pairs(self, first, c, word, words, row, ids, n, sig, t, words_of) -> Iterator[pa.RecordBatch]:
         at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         e, row = self.posting[np.repeat(first, c) + at], np.repeat(row, c)
         apart = np.bitwise_count(self.sig[e] ^ sig[row])
         ok = (apart <= (1 - t) / (1 + t) * (self.n[e] + n[row]) + 1e-6) & (np.minimum(self.n[e], n[row]) >= t * np.maximum(self.n[e], n[row]) - 1e-9)
         e, row, word, words = e[ok], row[ok], np.repeat(word, c)[ok], np.repeat(words, c)[ok]
         if len(e):
-            pair, which = np.unique(np.stack([e, row]), axis=1, return_inverse=True)
+            key, which = np.unique(e * len(ids) + row, return_inverse=True)
+            e, row, size = key // len(ids), key % len(ids), covered(which, word, words, len(key))
+            if words_of is not None:
+                both = _common(self.word_first, self.word, e, *words_of, row)
+                ok = (both >= t / (1 + t) * (self.n[e] + n[row]) - 1e-6) | (np.minimum(self.n[e], n[row]) >= 0xFFFF)
+                e, row, size = e[ok], row[ok], size[ok]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(self.code[pair[0]].astype(np.int32)), i64(self.ids[pair[0]]), i64(ids[pair[1]]), i64(covered(which.reshape(-1), word, words, pair.shape[1]))],
-                ["code", "row_id", "train_id", "covered"],
+                [pa.array(self.code[e].astype(np.int32)), i64(self.ids[e]), i64(ids[row]), i64(size)], ["code", "row_id", "train_id", "covered"]
             )
 
 
+def _words_of(normal: list[str], n: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, word): the words of normal forms as numbers by their letters; different words seldom have the same."""
+    chars = np.frombuffer("".join(normal).encode("ascii"), np.uint8).astype(np.int64) & 63
+    start = np.cumsum([0, *map(len, normal)])[:-1]
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - first[row]
+    late = place >= rare[row]
+    at = start[row] + np.where(late, 3 * place + 3 * rare[row], 6 * place)
+    chars = np.append(chars, np.zeros(6, np.int64))
+    word = (chars[at] << 12) | (chars[at + 1] << 6) | chars[at + 2]
+    return np.append(first, len(row)), np.where(late, word, (1 << 36) | (word << 18) | (chars[at + 3] << 12) | (chars[at + 4] << 6) | chars[at + 5])
+
+
+def _common(first_a, word_a, a, first_b, word_b, b) -> np.ndarray:
+    """At least the number of words that rows a and b of each pair have in common (more where different words have the same letters)."""
+    out = np.zeros(len(a), np.int64)
+    size = (first_a[a + 1] - first_a[a]) + (first_b[b + 1] - first_b[b])
+    cut_at = np.searchsorted(np.cumsum(size), np.arange(SCAN_PAIRS, size.sum() + SCAN_PAIRS, SCAN_PAIRS), side="right")
+    for lo, hi in zip([0, *cut_at], [*cut_at, len(a)]):
+        if lo >= hi:
+            continue
+        keys = []
+        for first, word, x in ((first_a, word_a, a[lo:hi]), (first_b, word_b, b[lo:hi])):
+            span = first[x + 1] - first[x]
+            which = np.repeat(np.arange(len(x)), span)
+            at = np.arange(len(which)) - (np.cumsum(span) - span)[which] + first[x][which]
+            keys.append(which << 37 | word[at])
+        # on either side a word counts once; words of one row with the same letters may hide one in common, so they are added
+        one, more = zip(*(np.unique(k, return_counts=True) for k in keys))
+        both, at_a, at_b = np.intersect1d(*one, assume_unique=True, return_indices=True)
+        out[lo:hi] = np.bincount(both >> 37, np.minimum(more[0][at_a], more[1][at_b]), minlength=hi - lo)
+    return out
+
+
 def covered(pair: np.ndarray, word: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     """Words of each pair's training row in the union of its intervals (word, words); intervals without a place (-1) are apart."""
     order = np.lexsort((word, pair))
@@ -434,22 +482,23 @@ class CrossSplitOverlap:
     def coverage(self) -> DataFrame:
         """(code, row_id, train_id, covered): words of an evaluation row's passages found in a training row; one row a class on either side and task."""
         freq = Frequency.of(self.rows.select("text"))
-        prepared = cut(self.rows.mapInArrow(_prepare(self.splits, self.limits, self.train, freq), "kind int, row_id bigint, meta bigint, sig bigint, parts int, passages string"))
+        prepared = cut(self.rows.mapInArrow(_prepare(self.splits, self.limits, self.train, freq), "kind int, row_id bigint, meta bigint, sig bigint, parts int, passages string, normal string"))
         wanted = prepared.where("kind = 0").agg(F.sum("parts")).first()[0] or 0
-        shards = max(1, -(-wanted // self.shard_passages))
+        shards, sc = max(1, -(-wanted // self.shard_passages)), self.rows.sparkSession.sparkContext
         if shards > self.broadcast_shards:
             return self._shuffled(freq, wanted)
-        passages = prepared.where("kind = 0").select("row_id", "meta", "sig", "passages", F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard"))
-        normal = prepared.where("kind = 1").select("row_id", "meta", "sig", "passages")
-        found, sc = None, self.rows.sparkSession.sparkContext
+        passages = prepared.where("kind = 0").withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)))
+        normal = prepared.where("kind = 1").select("row_id", "meta", "sig", "normal")
+        # every task builds the automaton: as few tasks as keep all cores busy, but of TASK_ROWS rows at most
+        tasks = max(-(-sc.defaultParallelism // shards), -(-prepared.where("kind = 1").count() // TASK_ROWS))
+        normal = normal.coalesce(tasks)
+        found = None
         for k in range(shards):
-            held: tuple[list, list, list, list] = ([], [], [], [])
             # at most about SHARD_PASSAGES passages of evaluation rows
-            got = passages.where(F.col("shard") == k).select("row_id", "meta", "sig", "passages").toArrow()
+            got = passages.where(F.col("shard") == k).select("row_id", "meta", "sig", "passages", "normal").toArrow()
             if not got.num_rows:
                 continue
-            for x, c in zip(held, (got["row_id"].to_numpy(), got["meta"].to_numpy(), got["sig"].to_numpy().view(np.uint64), got["passages"].to_pylist())):
-                x.append(c)
+            held = ([got["row_id"].to_numpy()], [got["meta"].to_numpy()], [got["sig"].to_numpy().view(np.uint64)], [got["passages"].to_pylist()], got["normal"].to_pylist())
             part = normal.mapInArrow(_scan_all(sc.broadcast(held), f"{id(self)}-{uuid.uuid4()}", self.limits), "code int, row_id bigint, train_id bigint, covered bigint")
             found = part if found is None else found.unionByName(part)
         if found is None:
