@@ -3,20 +3,24 @@
 Input of all operators: a DataFrame with key columns (slice, scorer, ...),
 ``y`` (0/1) and ``s`` (a finite score), as ``validated`` gives it. Rows are first
 collapsed to a histogram of distinct scores, which partial aggregation does
-before any shuffle; windows then run over distinct scores only. Metrics that a
-key does not define (one class only) are null; an empty table gives no rows.
+before any shuffle. Running counts over scores are taken within score ranges (a
+few thousand a key, finer towards 0 and 1) and added to the counts of the ranges
+ahead, so that no task sorts all scores of a key. Metrics that a key does not
+define (one class only) are null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallywright.session import cut
 
 #: Names of computed columns, which keys cannot have.
-RESERVED = frozenset(("s", "y", "p", "n", "k", "tp", "pos", "tot", "rep", "bin", "w", "t"))
+RESERVED = frozenset(("s", "y", "p", "n", "k", "tp", "pos", "tot", "rep", "bin", "w", "t", "_range"))
 
 
 def validated(df: DataFrame, keys: list[str], label: str = "label", score: str = "score", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -55,13 +59,32 @@ def histogram(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "s").agg(F.sum("y").cast("bigint").alias("p"), F.count("*").alias("n"))
 
 
+#: Ranges an octave of s (or of 1 - s), and octaves told apart.
+RANGES, OCTAVES = 64, 40
+
+
+def score_range(s: str = "s") -> Column:
+    """An integer that rises with the score: 64 ranges for each halving of the distance to 0 or 1."""
+    near = lambda x: F.floor(F.log2(F.greatest(x, F.lit(2.0**-OCTAVES))) * RANGES).cast("int")
+    return F.when(F.col(s) < 0.5, near(F.col(s))).otherwise(-near(1 - F.col(s)))
+
+
+def range_offsets(counts: DataFrame, keys: list[str], sums: dict[str, str], descending: bool) -> DataFrame:
+    """(keys, _range, and for each name: what the ranges ahead hold of a column, and name_all: what the key holds). At most a few thousand rows a key."""
+    g = counts.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    w = W.partitionBy(*keys)
+    ahead = w.orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(n) for n in sums] + [F.sum(f"_{n}").over(w).alias(f"{n}_all") for n in sums]
+    return g.select(*keys, "_range", *out)
+
+
 def curve(df: DataFrame, keys: list[str]) -> DataFrame:
     """Histogram with cumulative tp and k (rows at or above s) and the key's totals pos and tot."""
-    w = W.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    h = histogram(df, keys)
-    total = W.partitionBy(*keys)
-    return h.withColumns(
-        {"tp": F.sum("p").over(w), "k": F.sum("n").over(w), "pos": F.sum("p").over(total), "tot": F.sum("n").over(total)}
+    h = histogram(df, keys).withColumn("_range", score_range())
+    w = W.partitionBy(*keys, "_range").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    before = range_offsets(h, keys, {"_p0": "p", "_n0": "n"}, descending=True)
+    return h.withColumns({"tp": F.sum("p").over(w), "k": F.sum("n").over(w)}).join(before, [*keys, "_range"]).select(
+        *keys, "s", "p", "n", (F.col("tp") + F.col("_p0")).alias("tp"), (F.col("k") + F.col("_n0")).alias("k"), F.col("_p0_all").alias("pos"), F.col("_n0_all").alias("tot")
     )
 
 
@@ -135,35 +158,52 @@ def equal_width_bin(n_bins: int, s: str = "s") -> Column:
     return F.least(F.size(F.filter(edges, lambda e: e <= F.col(s))) - 1, F.lit(n_bins - 1))
 
 
+def units(s: str = "s") -> Column:
+    """The score in 1e-12 as a whole number: sums of it don't depend on their order."""
+    return F.round(F.col(s) * 1e12).cast("decimal(14,0)")
+
+
 def equal_width_bins(df: DataFrame, keys: list[str], n_bins: int = 10) -> DataFrame:
-    """(keys, bin, n, conf, freq) of non-empty bins."""
+    """(keys, bin, n, conf, freq, units) of non-empty bins; units is the sum of the scores in 1e-12."""
     if n_bins < 2:
         raise ValueError("n_bins must be at least 2")
     h = histogram(df, keys).withColumn("bin", equal_width_bin(n_bins))
-    return h.groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("conf"), (F.sum("p") / F.sum("n")).alias("freq")
-    )
+    g = h.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(units() * F.col("n").cast("decimal(18,0)")).alias("units"), F.sum("p").alias("p"))
+    return g.select(*keys, "bin", "n", (F.col("units").cast("double") / 1e12 / F.col("n")).alias("conf"), (F.col("p") / F.col("n")).alias("freq"), "units")
 
 
-def equal_mass_bins(df: DataFrame, keys: list[str], n_bins: int = 10, tie: str = "row_id") -> DataFrame:
-    """(keys, bin, n, conf, freq): as many rows a bin as possible, ties in order of ``tie``; keys of fewer rows than bins are left out.
+def equal_mass_ranks(df: DataFrame, keys: list[str], n_bins: int, tie: str) -> DataFrame:
+    """df with the equal-mass bin of each row: as many rows a bin as possible, by score, then by ``tie`` (an integer); keys of fewer rows than bins are left out.
 
-    Row ranks come from the histogram's cumulative counts and the rank within one score.
+    A row's rank is the number of rows in lower score ranges, in lower cells
+    of its range (a score and 65,536 values of the tie), and ahead of it in its
+    cell, so the rows of one hot score are ranked by many tasks.
     """
-    at = histogram(df, keys).withColumn("before", F.sum("n").over(W.partitionBy(*keys).orderBy("s").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    at = at.withColumn("tot", F.sum("n").over(W.partitionBy(*keys))).where(F.col("tot") >= n_bins).select(*keys, "s", "before", "tot")
-    inside = F.row_number().over(W.partitionBy(*keys, "s").orderBy(tie)) - 1
-    r = df.withColumn("inside", inside).join(at, [*keys, "s"]).withColumn("rank", F.col("before") + F.col("inside"))
+    if n_bins < 2:
+        raise ValueError("n_bins must be at least 2")
+    r = df.withColumns({"_range": score_range(), "_cell": F.shiftright(F.col(tie).cast("bigint"), 16)})
+    cells = r.groupBy(*keys, "_range", "s", "_cell").agg(F.count("*").alias("_c"))
+    lower = W.partitionBy(*keys, "_range").orderBy("s", "_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = range_offsets(cells, keys, {"_n0": "_c"}, descending=False)
+    cells = cells.withColumn("_in", F.coalesce(F.sum("_c").over(lower), F.lit(0))).join(before, [*keys, "_range"]).where(F.col("_n0_all") >= n_bins)
+    cells = cells.select(*keys, "s", "_cell", (F.col("_n0") + F.col("_in")).alias("_before"), F.col("_n0_all").alias("tot"))
+    inside = F.row_number().over(W.partitionBy(*keys, "s", "_cell").orderBy(tie)) - 1
+    r = r.withColumn("_inside", inside).join(cells, [*keys, "s", "_cell"]).withColumn("rank", F.col("_before") + F.col("_inside"))
     edge = F.transform(F.sequence(F.lit(0), F.lit(n_bins)), lambda b: F.floor(b * (F.col("tot") / F.lit(float(n_bins)))))
-    r = r.withColumn("bin", F.least(F.size(F.filter(edge, lambda e: e <= F.col("rank"))) - 1, F.lit(n_bins - 1)))
-    return r.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("s").alias("conf"), F.avg("y").alias("freq"))
+    return r.withColumn("bin", F.least(F.size(F.filter(edge, lambda e: e <= F.col("rank"))) - 1, F.lit(n_bins - 1))).select(*df.columns, "bin", "tot")
+
+
+def equal_mass_bins(df: DataFrame, keys: list[str], n_bins: int = 10, tie: str = "row_id") -> DataFrame:
+    """(keys, bin, n, conf, freq) of equal-mass bins."""
+    exact = (F.sum(units()).cast("double") / 1e12 / F.count("*")).alias("conf")
+    return equal_mass_ranks(df, keys, n_bins, tie).groupBy(*keys, "bin").agg(F.count("*").alias("n"), exact, F.avg("y").alias("freq"))
 
 
 def ece_family(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """ece, l2, debiased l2 and maximum calibration error of binned scores."""
+    """ece, l2, debiased l2 (less the variance that labels drawn at the bin's mean score would have) and maximum calibration error of binned scores."""
     tot = F.sum("n").over(W.partitionBy(*keys))
     b = bins.withColumn("w", F.col("n") / tot).withColumn("gap", F.abs(F.col("conf") - F.col("freq")))
-    noise = F.col("w") * F.col("freq") * (1 - F.col("freq")) / F.col("n")
+    noise = F.col("w") * F.col("conf") * (1 - F.col("conf")) / F.col("n")
     return b.groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("gap")).alias("ece"), F.sqrt(F.sum(F.col("w") * F.col("gap") * F.col("gap"))).alias("ece_l2"),
         F.sqrt(F.greatest(F.sum(F.col("w") * F.col("gap") * F.col("gap")) - F.sum(noise), F.lit(0.0))).alias("ece_l2_debiased"),
@@ -177,13 +217,49 @@ def hash_unit(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *cols)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def ece_debiased(df: DataFrame, keys: list[str], n_bins: int = 10, sweeps: int = 10, tie: str = "row_id") -> DataFrame:
-    """Plug-in ECE less its mean under labels drawn from the scores (hash-based draws), at least 0."""
-    plug = ece_family(equal_width_bins(df, keys, n_bins), keys).select(*keys, "ece")
-    sim = df.withColumn("sweep", F.explode(F.sequence(F.lit(1), F.lit(sweeps)))).withColumn(
-        "y", (hash_unit("sweep", F.col("sweep"), F.col(tie)) < F.col("s")).cast("int")
-    )
-    null = ece_family(equal_width_bins(sim, [*keys, "sweep"], n_bins), [*keys, "sweep"]).groupBy(*keys).agg(F.avg("ece").alias("null_ece"))
+#: Modulus of the draws: x * x stays below 2^62 in any engine.
+PRIME = 2147483647
+
+
+def draws(unit: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
+    """Reproducible numbers below PRIME for each unit (rows) and repetition (columns); integer arithmetic any SQL engine has."""
+    u = (unit.astype(np.int64) % PRIME + PRIME) % PRIME
+    x = (u[:, None] * 48271 + rep[None, :].astype(np.int64) * 69621 + seed) % PRIME
+    x = (x * x + rep[None, :]) % PRIME
+    return (x * x + u[:, None]) % PRIME
+
+
+def ece_debiased(df: DataFrame, keys: list[str], n_bins: int = 10, sweeps: int = 200, tie: str = "row_id", seed: int = 1) -> DataFrame:
+    """Equal-mass ECE less its mean over sweeps of labels drawn from the scores, at least 0.
+
+    Bins don't depend on labels, so a sweep is one sum a bin: an Arrow kernel
+    sums the drawn labels of all sweeps for each key and bin before the shuffle.
+    """
+    ranked = cut(equal_mass_ranks(df, keys, n_bins, tie))
+    kinds = dict(df.dtypes)
+    sweep = np.arange(1, sweeps + 1)
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            # rows of a few hundred KB of draws at a time
+            for lo in range(0, len(b), 4096):
+                part = b.iloc[lo : lo + 4096]
+                y = draws(part[tie].to_numpy(), sweep, seed) < (part["s"].to_numpy() * PRIME)[:, None]
+                groups = part.groupby([*keys, "bin"], sort=False).indices
+                for k, rows in groups.items():
+                    k = k if isinstance(k, tuple) else (k,)
+                    yield pd.DataFrame([[*k, y[rows].sum(0).tolist()]], columns=[*keys, "bin", "hits"])
+
+    cols = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "bin int", "hits array<bigint>"])
+    bins = ranked.groupBy(*keys, "bin").agg(F.count("*").alias("n"), (F.sum(units()).cast("double") / 1e12).alias("sum_s"), F.sum("y").alias("sum_y"))
+    tot = F.sum("n").over(W.partitionBy(*keys))
+    plug = bins.withColumn("tot", tot).groupBy(*keys).agg((F.sum(F.abs(F.col("sum_s") - F.col("sum_y"))) / F.first("tot")).alias("ece"))
+    drawn = ranked.select(*keys, "s", tie, F.col("bin").cast("int").alias("bin")).mapInPandas(run, cols)
+    drawn = drawn.select(*keys, "bin", F.posexplode("hits").alias("sweep", "hits")).groupBy(*keys, "bin", "sweep").agg(F.sum("hits").alias("hits"))
+    null = drawn.join(bins.select(*keys, "bin", "sum_s", "n"), [*keys, "bin"]).groupBy(*keys, "sweep").agg((F.sum(F.abs(F.col("sum_s") - F.col("hits"))) / F.sum("n")).alias("e"))
+    null = null.groupBy(*keys).agg(F.avg("e").alias("null_ece"))
     return plug.join(null, keys).withColumn("ece_debiased", F.greatest(F.col("ece") - F.col("null_ece"), F.lit(0.0)))
 
 
@@ -217,13 +293,13 @@ def precision_at_prior(df: DataFrame, keys: list[str], t: float, priors: list[fl
 
 
 def quantile_stratified(df: DataFrame, keys: list[str], by: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """pr_auc of all rows, of those within the quantile window of ``by``, their gap, and whether it is above 0.05."""
+    """pr_auc of all rows, of those within the quantile window of ``by``, their gap (full less trimmed), and whether it is above 0.05."""
     q = df.groupBy(*keys).agg(F.percentile(by, F.array(F.lit(low), F.lit(high))).alias("q"))
     inside = df.join(q, keys).where(F.col(by).between(F.col("q")[0], F.col("q")[1]))
     full = ranking(df, keys).select(*keys, F.col("pr_auc").alias("full"))
     trimmed = ranking(inside, keys).where("n_positive >= 10 and n - n_positive >= 10").select(*keys, F.col("pr_auc").alias("trimmed"))
     out = full.join(trimmed, keys).withColumn("gap", F.col("full") - F.col("trimmed"))
-    return out.withColumn("gap_flag", F.abs("gap") > 0.05)
+    return out.withColumn("gap_flag", F.col("gap") > 0.05)
 
 
 def expected_cost(df: DataFrame, keys: list[str], c_fp: float, c_fn: float) -> DataFrame:
