@@ -30,6 +30,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,20 +292,16 @@ class _Automaton:
         self.ids, self.sig = np.concatenate(ids), np.concatenate(sig)
         meta = np.concatenate(meta)
         self.n, rare, self.code = meta >> 32, meta >> 16 & 0xFFFF, meta & 0xFFFF
-        index: dict[str, int] = {}
-        holder, which, ranks = [], [], []
-        for row, text in enumerate(t for batch in passages for t in batch):
-            for p, rank in _SPLIT.findall(text):
-                which.append(index.setdefault(p, len(index)))
-                holder.append(row)
-                ranks.append(ord(rank))
+        found = [_SPLIT.findall(t) for batch in passages for t in batch]
+        holder = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        which, index = pd.factorize(np.array([p for x in found for p, _ in x], object))
+        ranks = np.frombuffer("".join([r for x in found for _, r in x]).encode("ascii"), np.uint8).astype(np.int64) - _GAP - 1
         self.trie = ahocorasick.Automaton()
-        for p, i in index.items():
+        for i, p in enumerate(index):
             self.trie.add_word(p, i)
         self.trie.make_automaton()
         self.size = np.array([len(p) for p in index], np.int64)
         self.words = np.array([1 if p[0] >= "`" else len(p) // 3 for p in index], np.int64)
-        which, holder, ranks = np.array(which), np.array(holder), np.array(ranks) - _GAP - 1
         # A passage of rank k is needed only for training rows with k < allowed + 1 - rare - their rare words,
         # as rare words that match are found by themselves: postings by code and by what they call for.
         self.limit, self.codes = limit, len(limit)
@@ -315,13 +312,13 @@ class _Automaton:
         order = np.lexsort((call, cell))
         self.posting = holder[order]
         self.sorted = cell[order] * 1e8 + call[order]
-        self.first = np.searchsorted(cell[order], np.arange(len(index) * self.codes))
+        self.first = np.searchsorted(cell[order], np.arange(len(index) * self.codes + 1))
         self.word_first, self.word = _words_of(normal, self.n, rare) if normal is not None else (None, None)
 
     def scan(self, texts: list[str], ids, meta, sig, whole: bool = False) -> Iterator[pa.RecordBatch]:
         """Pairs found in texts: whole normal forms, or parts of them that begin where a passage may."""
         joined = chr(_GAP) + "".join(t + chr(_GAP) if whole else t for t in texts)
-        hits = np.array(list(self.trie.iter(joined)), np.int64).reshape(-1, 2)
+        hits = np.fromiter(self.trie.iter(joined), "i8,i8").view(np.int64).reshape(-1, 2)
         if not len(hits):
             return
         n, rare = meta >> 32, meta >> 16 & 0xFFFF
@@ -342,14 +339,15 @@ class _Automaton:
             word = np.full(len(hits), -1)
         for code in range(self.codes):
             cell = hits[:, 1] * self.codes + code
-            offer = 1 + self.slope[code] * n[row] - rare[row] + 1e-6
-            count = np.maximum(np.searchsorted(self.sorted, cell * 1e8 + offer) - self.first[cell], 0)
-            some = np.flatnonzero(count)
-            total, lo = np.cumsum(count[some]), 0
+            some = np.flatnonzero(self.first[cell + 1] > self.first[cell])
+            offer = 1 + self.slope[code] * n[row[some]] - rare[row[some]] + 1e-6
+            count = np.maximum(np.searchsorted(self.sorted, cell[some] * 1e8 + offer) - self.first[cell[some]], 0)
+            some, count = some[count > 0], count[count > 0]
+            total, lo = np.cumsum(count), 0
             while lo < len(some):
                 hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCAN_PAIRS, side="right")))
                 x = some[lo:hi]
-                yield from self._pairs(self.first[cell[x]], count[x], word[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code], words_of)
+                yield from self._pairs(self.first[cell[x]], count[lo:hi], word[x], self.words[hits[x, 1]], row[x], ids, n, sig, self.limit[code], words_of)
                 lo = hi
 
     def _pairs(self, first, c, word, words, row, ids, n, sig, t, words_of) -> Iterator[pa.RecordBatch]:
