@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MIRROR = str.maketrans("<>[](){}", "><][)(}{")
+#: Closing forms of opening brackets; other characters stay as they are (fixed values).
+_MIRROR = str.maketrans("<[({", ">])}")
 
 
 def delimit(c: Column, left: str = "<<", right: str | None = None) -> Column:
@@ -55,8 +56,12 @@ def _each(share: float, change: Callable[[str, random.Random], str]) -> Callable
     return lambda t, r: "".join(change(ch, r) if r.random() < share else ch for ch in t)
 
 
-#: Latin letters and look-alikes (fixed values).
-LOOKALIKES = {"a": "а", "c": "с", "e": "е", "i": "і", "j": "ј", "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у", "A": "А", "B": "В", "E": "Е", "O": "О"}
+#: Latin letters and Cyrillic look-alikes (fixed values).
+LOOKALIKES = {"a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "x": "х", "y": "у", "A": "А", "B": "В", "E": "Е", "K": "К", "O": "О", "P": "Р", "T": "Т"}
+#: Combining grave, acute, circumflex, tilde, macron, breve, dot above, diaeresis (fixed values).
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308"
+#: White space that replaces a blank: no-break space and tab (fixed values).
+BLANKS = "\u00a0\t"
 
 PERTURBATIONS: dict[str, Callable[[str, random.Random], str]] = {
     "zero_width": _each(0.5, lambda ch, r: ch + "​"),

@@ -6,6 +6,7 @@ are never affected; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
+from tallywright.session import cut
+
 #: White space as Python's str.split sees it.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
 
@@ -32,8 +35,26 @@ def normal_text(c: str = "text"):
     return F.trim(F.regexp_replace(nfc_lower(F.col(c)), SPACE, " "))
 
 
+@F.pandas_udf(StringType())
+def _normal_digest(x: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = (t if t.isascii() else unicodedata.normalize("NFC", t)).lower()
+        return hashlib.sha256(" ".join(t.split()).encode("utf-8", "surrogatepass")).hexdigest()
+
+    return x.map(one)
+
+
 def normal_hash(c: str = "text"):
-    return F.sha2(normal_text(c), 256)
+    """SHA-256 of ``normal_text``, by one Arrow kernel."""
+    return _normal_digest(F.col(c))
+
+
+def keyed(rows: DataFrame, key) -> DataFrame:
+    """(row_id, split, label, k) of rows with a split and a text, kept in the checkpoint folder: the key is computed once and read by both sides of a join."""
+    r = rows.where("split is not null and text is not null")
+    return cut(r.select("row_id", "split", F.col("label") if "label" in rows.columns else F.lit(None).cast("int").alias("label"), key.alias("k")))
 
 
 def bare_form(c: str = "text"):
@@ -47,13 +68,15 @@ def _later_copies(rows: DataFrame, key, name: str, cap: int | None = None) -> Da
     The uncapped form needs only each group's smallest id, which partial
     aggregation finds, so one hot text never meets in one task.
     """
-    r = rows.where("split is not null and text is not null").withColumn("k", key)
+    r = keyed(rows, key)
     if cap is None:
         first = r.groupBy("split", "k").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1")
         out = r.join(first, ["split", "k"]).where("row_id > first")
     else:
-        rn = F.row_number().over(W.partitionBy("split", "k").orderBy("row_id"))
-        out = r.withColumn("rn", rn).where(F.col("rn").between(2, cap))
+        # the first ones of each part of a group hold the first ones of the group, so a hot text is ranked by many tasks
+        part = F.pmod(F.xxhash64("row_id"), F.lit(64))
+        some = r.withColumn("rn", F.row_number().over(W.partitionBy("split", "k", part).orderBy("row_id"))).where(F.col("rn") <= cap)
+        out = some.withColumn("rn", F.row_number().over(W.partitionBy("split", "k").orderBy("row_id"))).where(F.col("rn").between(2, cap))
     return out.select(F.lit(name).alias("check_name"), "split", "row_id")
 
 
@@ -73,7 +96,7 @@ def tokenization(rows: DataFrame, pattern: str = r"[a-z0-9']+") -> DataFrame:
 
 def label_conflict(rows: DataFrame) -> DataFrame:
     """All rows of a text that stands with more than one label in any split."""
-    r = rows.where("split is not null and text is not null").withColumn("k", normal_hash())
+    r = keyed(rows, normal_hash())
     bad = r.groupBy("k").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("k")
     return r.join(bad, "k", "left_semi").select(F.lit("LabelConflictCheck").alias("check_name"), "split", "row_id")
 
@@ -96,7 +119,7 @@ def temporal_leak(rows: DataFrame, time: str, order: list[str]) -> DataFrame:
 
 def cross_split_exact(rows: DataFrame, train: str = "train") -> DataFrame:
     """Rows of other splits whose normal text is in train."""
-    r = rows.where("split is not null and text is not null").withColumn("k", normal_hash())
+    r = keyed(rows, normal_hash())
     return r.where(F.col("split") != train).join(r.where(F.col("split") == train).select("k").distinct(), "k", "left_semi").select(
         F.lit("CrossSplitExact").alias("check_name"), "split", "row_id"
     )

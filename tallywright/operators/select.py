@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallywright.operators.metrics import confusion_at, curve, wilson
+from tallywright.operators.metrics import confusion_at, curve, range_offsets, score_range, wilson
 
 
 def pr_points(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,23 +17,28 @@ def pr_points(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def roc_points(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, fpr, tpr) by descending score, collinear points dropped, for keys with both classes."""
-    w = W.partitionBy(*keys).orderBy(F.desc("s"))
-    c = curve(df, keys).where("pos > 0 and pos < tot").withColumn("fp", F.col("k") - F.col("tp"))
-    bend = lambda x: (F.lead(x).over(w) - 2 * F.col(x) + F.coalesce(F.lag(x).over(w), F.lit(0))) != 0
-    keep = F.lead("s").over(w).isNull() | bend("fp") | bend("tp")
-    return c.withColumn("keep", keep).where("keep").select(
-        *keys, F.col("s").alias("t"), (F.col("fp") / (F.col("tot") - F.col("pos"))).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr")
+    c = curve(df, keys).where("pos > 0 and pos < tot").withColumn("_range", score_range())
+    # the next score is in the row's range, or the first one of the next range that has any
+    own = F.struct("n", "p")
+    first = c.groupBy(*keys, "_range").agg(F.max_by(own, "s").alias("_first"))
+    first = first.select(*keys, "_range", F.lead("_first").over(W.partitionBy(*keys).orderBy(F.desc("_range"))).alias("_next"))
+    c = c.withColumn("_then", F.lead(own).over(W.partitionBy(*keys, "_range").orderBy(F.desc("s")))).join(first, [*keys, "_range"])
+    then = F.coalesce("_then", "_next")
+    # a point lies on a line if the next step goes as far in both directions as the last
+    return c.where(then.isNull() | (then != own)).select(
+        *keys, F.col("s").alias("t"), ((F.col("k") - F.col("tp")) / (F.col("tot") - F.col("pos"))).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr")
     )
 
 
 def _best(points: DataFrame, keys: list[str], *order) -> DataFrame:
-    return points.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
+    """The first point of each key by order (columns ascending), by partial aggregation."""
+    return points.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in points.columns if c not in keys]), F.struct(*order)).alias("_best")).select(*keys, "_best.*")
 
 
 def max_f1(df: DataFrame, keys: list[str]) -> DataFrame:
     p = pr_points(df, keys)
     p = p.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-12)))
-    return _best(p, keys, F.round("f1", 12).desc(), F.asc("t")).select(*keys, "t", "f1")
+    return _best(p, keys, -F.round("f1", 12), F.col("t")).select(*keys, "t", "f1")
 
 
 def target_recall(df: DataFrame, keys: list[str], recall: float) -> DataFrame:
@@ -50,7 +55,7 @@ def target_fpr(df: DataFrame, keys: list[str], fpr: float) -> DataFrame:
 
 def youden_j(df: DataFrame, keys: list[str]) -> DataFrame:
     p = roc_points(df, keys).withColumn("j", F.round(F.col("tpr") - F.col("fpr"), 12))
-    return _best(p, keys, F.desc("j"), F.desc("t")).select(*keys, "t", "j")
+    return _best(p, keys, -F.col("j"), -F.col("t")).select(*keys, "t", "j")
 
 
 def recall_at_fpr(df: DataFrame, keys: list[str], fpr: float) -> DataFrame:
@@ -75,7 +80,7 @@ def ci_safe(df: DataFrame, keys: list[str], max_fpr: float, max_fpr_high: float,
         F.when(F.col("recall") < min_recall, F.lit("recall")), F.when(F.col("recall_low") < min_recall_low, F.lit("recall_ci")),
     ), lambda x: x.isNotNull())).withColumn("ok", F.size("rejections") == 0)
     count = c.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if("ok").alias("accepted"))
-    best = _best(c.where("ok"), keys, F.round("recall", 12).desc(), F.round("fpr_high", 12), F.round("fpr", 12), F.desc("s")).select(*keys, F.col("s").alias("t"), "recall", "fpr_high")
+    best = _best(c.where("ok"), keys, -F.round("recall", 12), F.round("fpr_high", 12), F.round("fpr", 12), -F.col("s")).select(*keys, F.col("s").alias("t"), "recall", "fpr_high")
     return count.join(best, keys, "left")
 
 
@@ -92,13 +97,20 @@ def pareto(df: DataFrame, cost: str, metric: str) -> DataFrame:
 
 def adjust_p(df: DataFrame, keys: list[str], p: str = "p", method: str = "bh") -> DataFrame:
     """df with q: Benjamini-Hochberg, Bonferroni or unadjusted p-values within keys; null p stay null."""
-    n = F.count(p).over(W.partitionBy(*keys))
     if method == "none":
         return df.withColumn("q", F.col(p))
     if method == "bonferroni":
-        return df.withColumn("q", F.least(F.col(p) * n, F.lit(1.0)))
+        return df.join(df.groupBy(*keys).agg(F.count(p).alias("_n")), keys).withColumn("q", F.least(F.col(p) * F.col("_n"), F.lit(1.0))).drop("_n")
     if method != "bh":
         raise ValueError(f"unknown method {method}")
-    up = W.partitionBy(*keys).orderBy(F.asc_nulls_last(p))
-    r = df.withColumn("_r", F.row_number().over(up)).withColumn("_v", F.col(p) * n / F.col("_r"))
-    return r.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.min("_v").over(up.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0)))).drop("_r", "_v")
+    # ranks and running minima within ranges of p, added to those of the ranges ahead
+    known = df.where(F.col(p).isNotNull()).withColumn("_range", score_range(p))
+    off = range_offsets(known.withColumn("_one", F.lit(1)), keys, {"_n0": "_one"}, descending=False)
+    up = W.partitionBy(*keys, "_range").orderBy(p)
+    r = known.withColumn("_r", F.row_number().over(up)).join(off, [*keys, "_range"]).withColumn("_v", F.col(p) * F.col("_n0_all") / (F.col("_r") + F.col("_n0")))
+    least = r.groupBy(*keys, "_range").agg(F.min("_v").alias("_m"))
+    later = W.partitionBy(*keys).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    least = least.select(*keys, "_range", F.min("_m").over(later).alias("_m"))
+    q = F.least(F.min("_v").over(up.rowsBetween(0, W.unboundedFollowing)), F.col("_m"), F.lit(1.0))
+    done = r.join(least, [*keys, "_range"]).withColumn("q", q).select(*df.columns, "q")
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywright.operators.metrics import hash_unit, histogram, ranking
 
 
-def proxy_a_distance(df: DataFrame, row_id: str, vector: str, domain: str, folds: int = 2, c: float = 0.1) -> DataFrame:
+def proxy_a_distance(df: DataFrame, row_id: str, vector: str, domain: str, folds: int = 5, c: float = 0.1) -> DataFrame:
     """(error, distance): 2 (1 - 2 error) of a linear separator of domains 0 and 1 over hashed folds, clamped to [0, 2]."""
     d = df.where(F.col(vector).isNotNull() & F.col(domain).isin(0, 1)).select(
         F.col(row_id).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(domain).cast("double").alias("label")
@@ -65,9 +65,32 @@ def recall_at_low_fpr_loss(df: DataFrame, keys: list[str], max_fpr: float = 0.01
     return g.select(*keys, (1 - F.try_divide("a", "b")).alias("loss"))
 
 
-def median_bandwidth(df: DataFrame, row_id: str, vector: str, most: int = 500) -> DataFrame:
-    """(bandwidth): median Euclidean distance between pairs of a hashed sample of at most ``most`` rows (a documented bound)."""
-    s = df.where(F.col(vector).isNotNull()).orderBy(F.md5(F.col(row_id).cast("string")), row_id).limit(most).select(F.col(row_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    e = s.select("i", F.posexplode("v").alias("k", "x"))
-    pair = e.alias("a").join(e.alias("b"), F.expr("a.k = b.k and a.i < b.i")).groupBy(F.col("a.i"), F.col("b.i")).agg(F.sqrt(F.sum(F.expr("(a.x - b.x) * (a.x - b.x)"))).alias("d"))
-    return pair.agg(F.percentile("d", 0.5).alias("bandwidth"))
+def median_bandwidth(df: DataFrame, row_id: str, vector: str, most: int = 1000) -> DataFrame:
+    """(bandwidth): median Euclidean distance between pairs of a hashed sample of at most ``most`` rows (a documented bound); null for fewer than two rows."""
+    import numpy as np
+    import pandas as pd
+
+    s = df.where(F.col(vector).isNotNull()).orderBy(F.md5(F.col(row_id).cast("string")), row_id).limit(most).select(F.col(vector).cast("array<double>").alias("v"))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        if len(x) < 2:
+            return pd.DataFrame({"bandwidth": [None]})
+        v = np.stack(x["v"].to_numpy())
+        square = (v**2).sum(1)
+        d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * v @ v.T, 0))
+        return pd.DataFrame({"bandwidth": [float(np.median(d[np.triu_indices(len(v), 1)]))]})
+
+    return s.groupBy().applyInPandas(run, "bandwidth double")
+
+
+def distribution_shift(df: DataFrame, row_id: str, vector: str, domain: str) -> DataFrame:
+    """(pad, domain_classifier_error, mmd_squared, bandwidth, p_value, mean_purity, n_a, n_b) of domains 0 and 1."""
+    from tallywright.operators.eda import knn_purity, maximum_mean_discrepancy
+
+    width = median_bandwidth(df, row_id, vector).first()
+    width = width[0] if width is not None else None
+    pad = proxy_a_distance(df, row_id, vector, domain).select(F.col("distance").alias("pad"), F.col("error").alias("domain_classifier_error"))
+    mmd = maximum_mean_discrepancy(df, row_id, vector, domain, width or 1.0).select("mmd_squared", F.lit(width).cast("double").alias("bandwidth"), "p_value", "n_a", "n_b")
+    # one row each, set side by side
+    one = lambda x: x.withColumn("_row", F.lit(1))
+    return one(pad).join(one(mmd), "_row").join(one(knn_purity(df, row_id, vector, domain).select("mean_purity")), "_row").drop("_row")

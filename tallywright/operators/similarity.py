@@ -100,16 +100,24 @@ QUERY_BLOCK = 4096
 
 
 def cosine_top(df: DataFrame, row_id: str, vector: str, queries, k: int) -> DataFrame:
-    """(query_id, ref_id, sim, rank): exact cosine top k of a stated query set against all rows, in blocks of queries.
+    """(query_id, ref_id, sim, rank): exact cosine top k of a stated query set against all rows; a zero vector has similarity 0."""
+    return _top(df, row_id, vector, queries, k, True)
 
-    Every task keeps its own k best of a query before anything is shuffled.
-    Null vectors are left out; a zero vector has similarity 0.
-    """
+
+def nearest(df: DataFrame, row_id: str, vector: str, queries, k: int) -> DataFrame:
+    """(query_id, ref_id, sim, rank): the k rows nearest to each row of a stated query set; sim is the squared Euclidean distance, negative."""
+    return _top(df, row_id, vector, queries, k, False)
+
+
+def _top(df: DataFrame, row_id: str, vector: str, queries, k: int, cosine: bool) -> DataFrame:
+    """Blocks of queries against all rows. Every task keeps its own k best of a query before anything is shuffled. Null vectors are left out."""
     d = df.where(F.col(vector).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     parts = []
     block: list = []
 
     def unit(m: np.ndarray) -> np.ndarray:
+        if not cosine:
+            return m
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(n > 0, n, 1)
 
@@ -122,7 +130,11 @@ def cosine_top(df: DataFrame, row_id: str, vector: str, queries, k: int) -> Data
             for b in batches:
                 if not len(b):
                     continue
-                sim = np.round(qm @ unit(np.stack(b["v"].to_numpy())).T, 9)
+                m = unit(np.stack(b["v"].to_numpy()))
+                sim = qm @ m.T
+                if not cosine:
+                    sim = 2 * sim - (qm**2).sum(1)[:, None] - (m**2).sum(1)[None, :]
+                sim = np.round(sim, 9)
                 ref = b["id"].to_numpy()
                 for i in range(len(qid)):
                     ok = np.flatnonzero(ref != qid[i])

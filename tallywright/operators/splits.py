@@ -11,16 +11,25 @@ def shuffle_key(row_id: str, seed: int) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(row_id).cast("string")))
 
 
+def dealt(df: DataFrame, row_id: str, keys: list[str], seed: int) -> DataFrame:
+    """df with rank (from 1) and total within keys, in hashed order: rows are ranked within slices of the hash and slices counted ahead, so no task sorts all rows of a key."""
+    r = df.withColumn("_h", shuffle_key(row_id, seed)).withColumn("_slice", F.substring("_h", 1, 3))
+    counts = r.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*keys)
+    counts = counts.select(*keys, "_slice", F.coalesce(F.sum("_c").over(w.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("total"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy("_h", row_id))
+    return r.withColumn("_in", inside).join(counts, [*keys, "_slice"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias("rank"), "total")
+
+
 def holdout(df: DataFrame, row_id: str, label: str, test_size: float = 0.2, seed: int = 0) -> DataFrame:
-    w = W.partitionBy(label).orderBy(shuffle_key(row_id, seed), row_id)
-    n = F.count("*").over(W.partitionBy(label))
-    role = F.when(F.row_number().over(w) <= F.round(n * test_size), "test").otherwise("train")
-    return df.select("*", role.alias("role"))
+    """df with role; rows without a label are left out."""
+    role = F.when(F.col("rank") <= F.round(F.col("total") * test_size), "test").otherwise("train")
+    return dealt(df, row_id, [label], seed).select(*df.columns, role.alias("role"))
 
 
 def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy(label).orderBy(shuffle_key(row_id, seed), row_id))
-    return df.select("*", ((rn - 1) % k).cast("int").alias("fold"))
+    """df with fold; rows without a label are left out."""
+    return dealt(df, row_id, [label], seed).select(*df.columns, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
 
 
 def source_disjoint(df: DataFrame, source: str, k: int = 3, seed: int = 0) -> DataFrame:

@@ -15,13 +15,16 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, single machines) a temporary folder is used.
+    Where that is unset a temporary folder is used in local mode only; on a
+    cluster it would not be shared, so that is refused.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallywright-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

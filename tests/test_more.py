@@ -36,11 +36,6 @@ def test_bca_and_percentile_surround_the_area(spark):
     assert R.bootstrap_ci(d.where("y = 1"), ["g"]).count() == 0
 
 
-def test_poisson_weights_have_mean_one(spark):
-    w = spark.range(5000).select(R.weight(R.hash_unit("x", F.col("id"))).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
-    assert abs(w[0] - 1) < 0.06 and abs(w[1] - 1) < 0.12
-
-
 def test_delong_matches_placements(spark):
     y, a, _ = sample(spark, 80, 1)
     b = sample(spark, 80, 2)[1]
