@@ -18,9 +18,11 @@ join under a known distance, and nothing is lost by going through signatures:
   the whole word sets.
 
 Rows of a key with very many rows (a stock phrase) are indexed again, up to
-twice, under that key joined with longer keys over other chunks. What is still
-large then is streamed through one task by size, holding only the rows whose
-size a later row may match. Copies of one word set enter as one class a task.
+twice, under that key joined with longer keys over other chunks. A key that is
+still large then is cut into parts of at most HOT_ROWS rows, and every two parts
+meet in a group of their own, so many tasks share it. Groups are streamed by
+size, holding only the rows whose size a later row may match. Copies of one word
+set enter as one class a task.
 """
 
 from __future__ import annotations
@@ -186,11 +188,11 @@ def _compare(limits: list[float], last: bool, hot_rows: int = HOT_ROWS):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        hot = None
+        hot, done = None, 0
 
         def flush(parts: list[list[np.ndarray]], end: bool):
-            """Handles all complete groups of parts; returns what belongs to the last one."""
-            nonlocal hot
+            """Handles all complete groups of parts; returns what belongs to the last one. The first ``done`` rows have been compared with each other."""
+            nonlocal hot, done
             cols = [np.concatenate(c) for c in zip(*parts)]
             key = cols[0]
             out = []
@@ -213,14 +215,18 @@ def _compare(limits: list[float], last: bool, hot_rows: int = HOT_ROWS):
             if m.any():
                 out.append(_batch(1, cols[1][:keep][m] & 0xFFFF, cols[4][:keep][m], cols[0][:keep][m].view(np.int64), cols[2][:keep][m], cols[2][:keep][m]))
             many = ~mask[:keep] & np.repeat(size > 1, size)[:keep]
-            out.append(pairs(*[c[:keep][many] for c in cols]))
+            if many.any():
+                # rows compared before come first and are all of the first group, if that ends here
+                out.append(pairs(*[c[:keep][many] for c in cols], new_from=done if keep else 0))
             rest = [c[keep:] for c in cols]
+            done = done if not keep else 0
             if last and len(rest[0]) > BLOCK_ROWS:
                 # a group larger than a block: compare it now, keep only rows whose size later rows may match
-                out.append(pairs(*rest))
+                out.append(pairs(*rest, new_from=done))
                 n = rest[1] >> 16
                 near = n >= limit[rest[1] & 0xFFFF] * n[-1] - 1e-9
                 rest = [c[near] for c in rest]
+                done = len(rest[0])
             return out, [rest] if len(rest[0]) else []
 
         rows = 0
@@ -268,6 +274,8 @@ class NearDuplicates:
     """
 
     def __init__(self, rows: DataFrame, thresholds: dict[str, float], row_id: str = "row_id", split: str = "split", text: str = "text", hot_rows: int = HOT_ROWS):
+        if len(thresholds) >= 1 << 16:
+            raise ValueError("at most 65,535 splits")
         self.spark: SparkSession = rows.sparkSession
         self.splits, self.limits = list(thresholds), [float(t) for t in thresholds.values()]
         self.rows = rows.select(
@@ -284,6 +292,8 @@ class NearDuplicates:
             keys = source.mapInArrow(
                 _keys(self.splits, self.limits, freq, level), "key bigint, meta bigint, ident bigint, sig bigint, row_id bigint"
             )
+            if level == 2:
+                keys = self._parts(cut(keys))
             got = cut(
                 keys.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_compare(self.limits, level == 2, self.hot_rows), PAIR_SCHEMA)
             )
@@ -297,6 +307,16 @@ class NearDuplicates:
             pairs = pairs.unionByName(more)
         return pairs.groupBy("code", "ia", "ib").agg(F.min(F.struct("a", "b")).alias("p")).select("code", "ia", "ib", "p.a", "p.b")
 
+    def _parts(self, keys: DataFrame) -> DataFrame:
+        """Keys of more than hot_rows rows replaced by a key for every two parts of them; a row stands in as many groups as its key has parts."""
+        many = keys.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > self.hot_rows)
+        many = cut(many.select("key", F.ceil(F.col("_n") / self.hot_rows).cast("int").alias("_parts")))
+        hot = keys.join(broadcast_if_small(many, many.count(), BROADCAST_IDS), "key").withColumn("_mine", F.pmod(F.xxhash64("row_id", "ident"), F.col("_parts")))
+        hot = hot.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        hot = hot.withColumn("key", F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))).select(keys.columns)
+        rest = keys.join(broadcast_if_small(many.select("key"), many.count(), BROADCAST_IDS), "key", "left_anti")
+        return rest.unionByName(hot)
+
     def links(self) -> DataFrame:
         """(code, ia, ib): pairs of different word-set classes that overlap enough, checked on the whole sets."""
         if self._links is None:

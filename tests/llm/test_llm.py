@@ -3,6 +3,7 @@
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from tallywright.functions.text import words
 from tallywright.llm import canonical as C
 from tallywright.llm import contamination as T
+from tallywright.llm import neardup as ND
 from tallywright.llm import packing as K
 from tallywright.llm import quality as Q
 from tallywright.llm import sampling as S
 from tallywright.llm.crosssplit import CrossSplitOverlap, covered
 from tallywright.llm.neardup import NearDuplicates
-from tallywright.llm.wordsets import current_thresholds
+from tallywright.llm.wordsets import allowed, current_thresholds, i64
 
 DATA = "/root/testdata/sf0.001"
 ROWS = "row_id bigint, split string, text string, source string, key string, n int"
@@ -63,6 +65,22 @@ def test_hot_keys_are_indexed_again(spark, hot):
     assert {tuple(r) for r in nd.pairs().collect()} == want
 
 
+def test_large_groups_are_streamed_in_blocks(monkeypatch):
+    """A group of many blocks: every pair is compared once its second row comes, and only then."""
+    monkeypatch.setattr(ND, "BLOCK_ROWS", 50)
+    r = np.random.default_rng(1)
+    n = np.sort(r.integers(20, 60, 400))
+    key = np.array([1] * 5 + [2] * 380 + [3] * 15, np.uint64)
+    n = np.concatenate([np.sort(n[:5]), np.sort(n[5:385]), np.sort(n[385:])])
+    sig = r.integers(0, 1 << 10, 400).astype(np.uint64)
+    ident = r.permutation(400).astype(np.uint64)
+    cols = [i64(key), i64(n << 16), i64(ident), i64(sig), i64(np.arange(400))]
+    batches = [pa.RecordBatch.from_arrays([c.slice(a, 30) for c in cols], ["key", "meta", "ident", "sig", "row_id"]) for a in range(0, 400, 30)]
+    got = [tuple(sorted(x)) for b in ND._compare([0.75], True)(iter(batches)) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if key[i] == key[j] and n[i] >= 0.75 * n[j] - 1e-9 and np.bitwise_count(sig[i] ^ sig[j]) <= allowed(n[i], n[j], 0.75)}
+    assert set(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("t", "limits"), [(0.9, {}), (0.75, {"shard_passages": 200}), (0.45, {}), (0.75, {"shard_passages": 200, "broadcast_shards": 0})])
 def test_cross_split_finds_all(spark, t, limits):
     """With one shard, with several passes, and with both sides shuffled."""
