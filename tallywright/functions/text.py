@@ -115,6 +115,28 @@ def distinct_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], h[keep]
 
 
+def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): the distinct hashes of every k consecutive words of each row, sorted by row and hash; a row of fewer words has one of all its words."""
+    rows, h = token_hashes(texts)
+    n = np.bincount(rows, minlength=len(texts))
+    first = np.cumsum(n) - n
+    place = np.arange(len(h)) - first[rows] if len(h) else rows
+    begins = place <= np.maximum(n[rows] - k, 0) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(begins)
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            inside = at + j < (first + n)[rows[at]]
+            word = np.where(inside, h[np.minimum(at + j, len(h) - 1)], np.uint64(0))
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(j))
+    rows = rows[at]
+    order = np.lexsort((out, rows))
+    rows, out = rows[order], out[order]
+    keep = np.ones(len(out), bool)
+    keep[1:] = (rows[1:] != rows[:-1]) | (out[1:] != out[:-1])
+    return rows[keep], out[keep]
+
+
 def chunks(texts: list[str | None], limit: int = 2_000_000):
     """(start, end) ranges of texts of about ``limit`` characters each, so that long texts don't add up in memory."""
     start, size = 0, 0

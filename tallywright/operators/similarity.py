@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallywright.functions.text import mix64
+from tallywright.functions.text import chunks, mix64, shingle_hashes
 from tallywright.session import cut
 
 
@@ -32,12 +33,14 @@ def jaccard_pairs(df: DataFrame, row_id: str, grams, threshold: float) -> DataFr
     joined, sizes must be within the threshold, and each pair is verified on
     the whole sets. Rows without grams have no partners.
     """
-    s = df.select(F.col(row_id).alias("id"), grams.alias("g")).where(F.size("g") > 0)
+    s = cut(df.select(F.col(row_id).alias("id"), grams.alias("g")).where(F.size("g") > 0))
     e = s.select("id", F.size("g").alias("n"), F.explode("g").alias("x"))
-    df_ = e.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "x"))
-    alone = e.join(df_, "x", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", rank)
-    p = alone.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("df") > 1)).select("id", "n", "x")
+    often = e.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # grams of one row only meet nothing; they take the first places of a row's order
+    shared = e.join(often, "x")
+    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("l"))
+    room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("l"))
+    p = listed.where(room > 0).select("id", "n", F.explode(F.slice("l", F.lit(1), room.cast("int"))).alias("e")).select("id", "n", "e.x")
     near = F.expr(f"a.x = b.x and a.id < b.id and a.n >= {threshold} * b.n - 1e-9 and b.n >= {threshold} * a.n - 1e-9")
     c = p.alias("a").join(p.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = c.join(s.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(s.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
@@ -45,30 +48,47 @@ def jaccard_pairs(df: DataFrame, row_id: str, grams, threshold: float) -> DataFr
     return both.select("a", "b", (k / (F.size("ga") + F.size("gb") - k)).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def hashed(grams):
-    """64-bit hashes of grams: as long as a number, however long the grams are."""
-    return F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))
+def shingle_sets(df: DataFrame, row_id: str, text: str, k: int = 5) -> DataFrame:
+    """(id, g, key): hashes of the sets of k-word shingles of rows with words, and a hash of the whole set; one narrow Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo, hi in chunks(texts):
+                row, h = shingle_hashes(texts[lo:hi], k)
+                n = np.bincount(row, minlength=hi - lo)
+                some = np.flatnonzero(n)
+                if not len(some):
+                    continue
+                start = np.cumsum(n) - n
+                with np.errstate(over="ignore"):
+                    key = mix64(np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), start[some]) + n[some].astype(np.uint64))
+                g = pa.ListArray.from_arrays(pa.array(np.append(start[some], len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(some)), g, pa.array(key.view(np.int64))], ["id", "g", "key"])
+
+    kind = dict(df.dtypes)[row_id]
+    return df.where(F.col(row_id).isNotNull() & (F.length(text) > 0)).select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, g array<bigint>, key bigint")
 
 
-def copy_classes(df: DataFrame, row_id: str, grams) -> tuple[DataFrame, DataFrame]:
-    """(id, class_id) of all rows with grams, and (id, g) of one row a class.
+def copy_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) of all rows with grams, and (id, g) of one row a class, from ``shingle_sets``.
 
     Rows of the same gram set are a class, named by its smallest id. Joins run
     over classes, so the pairs don't grow with the square of the copies.
     """
-    s = df.select(F.col(row_id).alias("id"), grams.alias("g")).where(F.size("g") > 0).withColumn("key", F.md5(F.array_join(F.array_sort("g").cast("array<string>"), " ")))
+    s = cut(sets)
     named = s.groupBy("key").agg(F.min("id").alias("class_id"))
     members = cut(s.select("id", "key").join(named, "key").select("id", "class_id"))
-    return members, cut(s.select("id", "g").join(members.where("id = class_id").select("id"), "id", "left_semi"))
+    return members, cut(s.select("id", "g").join(members.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
 
-def corpus_dedup(df: DataFrame, row_id: str, grams, threshold: float) -> DataFrame:
+def corpus_dedup(df: DataFrame, row_id: str, text: str, threshold: float, k: int = 5) -> DataFrame:
     """(id, class_id, kept, link): one row a row with grams; greedy_kept over all pairs of the threshold or more, copies included.
 
     link is the smallest kept row that drops the row. The rows of a class have
     the same partners, so only its first can be kept.
     """
-    members, one = copy_classes(df, row_id, grams)
+    members, one = copy_classes(shingle_sets(df, row_id, text, k))
     edges = cut(jaccard_pairs(one, "id", F.col("g"), threshold).select("a", "b"))
     kept = cut(greedy_kept(one.select("id"), edges))
     by = edges.join(kept.where("kept").select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("by"))
@@ -197,6 +217,14 @@ def greedy_kept(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(d, "id", "left").select("id", F.col("_d").isNull().alias("kept"))
 
 
+def cross_pairs(one: DataFrame, info: DataFrame, threshold: float, train: str = "train") -> DataFrame:
+    """(a, b, sim, relation): pairs of one (id, g) of which one row is of the training split; info: id, split, source, label."""
+    pairs = jaccard_pairs(one, "id", F.col("g"), threshold)
+    side = lambda x: info.select(F.col("id").alias(x), F.col("split").alias("split_" + x))
+    crossing = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("split_a") == train) != (F.col("split_b") == train))
+    return relations(crossing.select("a", "b", "sim"), info)
+
+
 def cross_kept(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of ids without an edge (a = the row)."""
     return ids.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti")

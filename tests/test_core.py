@@ -133,10 +133,10 @@ def test_corpus_dedup_collapses_copies(spark):
         link[i] = min(near, default=None)
         if not near:
             kept.append(i)
-    got = {r.id: r for r in X.corpus_dedup(d, "id", X.hashed(X.word_ngrams("text", 5)), 0.8).collect()}
+    got = {r.id: r for r in X.corpus_dedup(d, "id", "text", 0.8).collect()}
     assert {i: r.link for i, r in got.items()} == link and [i for i, r in sorted(got.items()) if r.kept] == kept
     assert len({r.class_id for i, r in got.items() if (texts[i] or "").startswith("a hot")}) == 1
-    ones = X.copy_classes(d, "id", X.hashed(X.word_ngrams("text", 5)))[1]
+    ones = X.copy_classes(X.shingle_sets(d, "id", "text"))[1]
     assert X.minhash_pairs(ones, "id", F.col("g"), 0.8).count() <= X.jaccard_pairs(ones, "id", F.col("g"), 0.8).count() < 100
 
 
