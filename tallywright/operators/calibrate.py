@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tallywright.operators.joins import asof_join
 from tallywright.operators.metrics import histogram
 
 CLIP = 1e-7
@@ -118,3 +120,22 @@ def apply_temperature(df: DataFrame, fitted: DataFrame, keys: list[str]) -> Data
     s = F.least(F.greatest("s", F.lit(CLIP)), F.lit(1 - CLIP))
     z = F.log(s / (1 - s)) / F.col("temperature")
     return df.join(fitted.select(*keys, "temperature"), keys).withColumn("s", 1 / (1 + F.exp(-z))).drop("temperature")
+
+
+def apply_beta(df: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
+    s = F.least(F.greatest("s", F.lit(CLIP)), F.lit(1 - CLIP))
+    return df.join(fitted, keys).withColumn("s", 1 / (1 + F.exp(-(F.col("a") * F.log(s) + F.col("b") * F.log(1 - s) + F.col("c"))))).drop("a", "b", "c")
+
+
+def apply_isotonic(df: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores replaced by their block's value; between two blocks it rises linearly, outside of all it is that of the nearest. Keys without blocks are left out.
+
+    An as-of join finds the block at or before a score, cut at thousandths so that no task sorts a key.
+    """
+    w = W.partitionBy(*keys).orderBy("low")  # blocks: far fewer than scores
+    b = fitted.select(*keys, F.col("low").alias("s"), "low", "high", "value", F.lead("low").over(w).alias("next_low"), F.lead("value").over(w).alias("next_value"))
+    first = b.groupBy(*keys).agg(F.min_by("value", "low").alias("least"))
+    x = asof_join(df, b, keys, "s", ["high", "next_low", "next_value", "value"], lambda c: F.floor(c * 1000)).join(first, keys)
+    part = (F.col("s") - F.col("high")) / (F.col("next_low") - F.col("high"))
+    value = F.when((F.col("s") > F.col("high")) & F.col("next_low").isNotNull(), F.col("value") + part * (F.col("next_value") - F.col("value"))).otherwise(F.coalesce("value", "least"))
+    return x.withColumn("s", value).select(df.columns)

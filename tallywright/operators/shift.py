@@ -27,16 +27,23 @@ def proxy_a_distance(df: DataFrame, row_id: str, vector: str, domain: str, folds
     return g.select("error", F.least(F.greatest(2 * (1 - 2 * F.col("error")), F.lit(0.0)), F.lit(2.0)).alias("distance"))
 
 
-def stack(df: DataFrame, key: str, scorer: str, scorers: list[str]) -> DataFrame:
-    """(key, y, s): a balanced logistic stack of several scorers over rows that all of them scored."""
+def stack(df: DataFrame, key: str, scorer: str, scorers: list[str], folds: int = 2) -> DataFrame:
+    """(key, y, s): a balanced logistic stack of several scorers over rows that all of them scored; every row is scored by a model fitted without it (hashed folds). Null scores where a fit lacks a class."""
     wide = df.where(F.col(scorer).isin(scorers)).groupBy(key, "y").pivot(scorer, scorers).agg(F.avg("s")).dropna()
     x = VectorAssembler(inputCols=scorers, outputCol="features").transform(wide).withColumn("label", F.col("y").cast("double"))
-    n = x.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
-    if not n["n"] or n["p"] in (0, n["n"]):
-        return x.select(key, "y", F.lit(None).cast("double").alias("s"))
-    w = F.when(F.col("label") == 1, n["n"] / (2 * n["p"])).otherwise(n["n"] / (2 * (n["n"] - n["p"])))
-    model = LogisticRegression(weightCol="w", regParam=1.0 / n["n"], maxIter=50, standardization=False).fit(x.withColumn("w", w))
-    return model.transform(x.withColumn("w", w)).select(key, "y", vector_to_array("probability")[1].alias("s"))
+    x = x.withColumn("fold", F.floor(hash_unit("stack", F.col(key)) * folds))
+    out = None
+    for f in range(folds):
+        train, held = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
+        n = train.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
+        if not n["n"] or n["p"] in (0, n["n"]):
+            part = held.select(key, "y", F.lit(None).cast("double").alias("s"))
+        else:
+            w = F.when(F.col("label") == 1, n["n"] / (2 * n["p"])).otherwise(n["n"] / (2 * (n["n"] - n["p"])))
+            model = LogisticRegression(weightCol="w", regParam=1.0 / n["n"], maxIter=50, standardization=False).fit(train.withColumn("w", w))
+            part = model.transform(held.withColumn("w", w)).select(key, "y", vector_to_array("probability")[1].alias("s"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def competency_baselines(df: DataFrame, row_id: str, text: str, label: str, buckets: int = 4096) -> DataFrame:
