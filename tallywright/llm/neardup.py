@@ -293,7 +293,7 @@ class NearDuplicates:
                 _keys(self.splits, self.limits, freq, level), "key bigint, meta bigint, ident bigint, sig bigint, row_id bigint"
             )
             if level == 2:
-                keys = self._parts(cut(keys))
+                keys = self._parts(keys)
             got = cut(
                 keys.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(_compare(self.limits, level == 2, self.hot_rows), PAIR_SCHEMA)
             )
@@ -311,11 +311,12 @@ class NearDuplicates:
         """Keys of more than hot_rows rows replaced by a key for every two parts of them; a row stands in as many groups as its key has parts."""
         many = keys.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > self.hot_rows)
         many = cut(many.select("key", F.ceil(F.col("_n") / self.hot_rows).cast("int").alias("_parts")))
-        hot = keys.join(broadcast_if_small(many, many.count(), BROADCAST_IDS), "key").withColumn("_mine", F.pmod(F.xxhash64("row_id", "ident"), F.col("_parts")))
-        hot = hot.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        hot = hot.withColumn("key", F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))).select(keys.columns)
-        rest = keys.join(broadcast_if_small(many.select("key"), many.count(), BROADCAST_IDS), "key", "left_anti")
-        return rest.unionByName(hot)
+        if many.isEmpty():
+            return keys
+        x = keys.join(broadcast_if_small(many, many.count(), BROADCAST_IDS), "key", "left").withColumn("_mine", F.pmod(F.xxhash64("row_id", "ident"), F.col("_parts")))
+        x = x.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+        shared = F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+        return x.withColumn("key", F.when(F.col("_parts").isNotNull(), shared).otherwise(F.col("key"))).select(keys.columns)
 
     def links(self) -> DataFrame:
         """(code, ia, ib): pairs of different word-set classes that overlap enough, checked on the whole sets."""
