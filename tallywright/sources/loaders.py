@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import math
+import shutil
+import tempfile
+import urllib.parse
+import urllib.request
+import uuid
 from pathlib import Path
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,17 +59,81 @@ def unmapped(df: DataFrame) -> int:
     return df.where("label is null").count()
 
 
+def refuse_unmapped(df: DataFrame, column: str) -> DataFrame:
+    """df as it is if every row has a label, else ValueError naming some of the values that have none."""
+    bad = [r[0] for r in df.where("label is null").select(F.col(column).cast("string")).distinct().orderBy(column).limit(5).collect()]
+    if bad:
+        raise ValueError(f"{column} has values without a label: {bad}")
+    return df
+
+
+def fetch_verified(url: str, sha256: str, cache: str) -> str:
+    """The path of the content of url (a local path, file: or http(s): address) in the cache folder, by its hash; what is there already is not read again.
+
+    A content of another hash raises ValueError and leaves nothing behind.
+    """
+    want = sha256.removeprefix("sha256:").lower()
+    target = Path(cache) / f"{want}{Path(urllib.parse.urlparse(url).path).suffix}"
+    if target.exists() and _file_hash(target) == want:
+        return str(target)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_suffix(f".{uuid.uuid4().hex}.part")
+    try:
+        with urllib.request.urlopen(url if "://" in url else Path(url).resolve().as_uri()) as source, part.open("wb") as out:
+            shutil.copyfileobj(source, out)
+        if (got := _file_hash(part)) != want:
+            raise ValueError(f"{url} has the hash {got}, not {want}")
+        part.replace(target)
+    finally:
+        part.unlink(missing_ok=True)
+    return str(target)
+
+
+def _file_hash(path: Path) -> str:
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def hub(spark: SparkSession, name: str, splits: dict[str, str], **options) -> DataFrame:
+    """Splits of a dataset of a public hub, read through its own library if that is installed; each split is handed over as Parquet files."""
+    try:
+        import datasets
+    except ImportError as error:
+        raise ImportError("reading from a dataset hub needs the datasets library") from error
+    folder = tempfile.mkdtemp(prefix="tallywright-hub-")
+    for split, theirs in splits.items():
+        datasets.load_dataset(name, split=theirs, **options).to_parquet(f"{folder}/{split}.parquet")
+    return parquet_globs(spark, {s: f"{folder}/{s}.parquet" for s in splits})
+
+
+def read_manifest(path: str) -> dict:
+    """A manifest of slices: JSON, or YAML if its library is installed."""
+    text = Path(path).read_text()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text)
+    return json.loads(text)
+
+
+def frozen(config):
+    """config with mappings and lists that cannot be changed."""
+    if isinstance(config, dict):
+        return MappingProxyType({k: frozen(v) for k, v in config.items()})
+    return tuple(frozen(v) for v in config) if isinstance(config, (list, tuple)) else config
+
+
 def manifest_union(spark: SparkSession, slices: dict[str, dict], folder: str) -> DataFrame:
-    """text, label, source, row_id, sha of declared slices {name: {path, text_field, label_field, label_map?, sample_size?, seed?}}.
+    """text, label, source, row_id, sha of declared slices {name: {path or url and sha256, text_field, label_field, label_map?, sample_size?, seed?}}.
 
     A sample is drawn in hashed order, so it does not depend on partitions.
     """
     parts = []
     for name, s in slices.items():
-        path = f"{folder}/{s['path']}"
+        path = fetch_verified(s["url"], s["sha256"], folder) if "url" in s else f"{folder}/{s['path']}"
         kind = s.get("format") or Path(path).suffix.lstrip(".")
         read = {"parquet": spark.read.parquet, "pq": spark.read.parquet, "jsonl": spark.read.json, "json": spark.read.option("multiLine", True).json, "csv": spark.read.option("header", True).csv}
-        d = map_labels(read[kind](path), s["label_field"], s.get("label_map"))
+        d = refuse_unmapped(map_labels(read[kind](path), s["label_field"], s.get("label_map")), s["label_field"])
         d = d.select(F.col(s["text_field"]).alias("text"), "label", F.lit(name).alias("source"))
         d = d.withColumn("sha", F.concat(F.lit("sha256:"), F.sha2("text", 256))).withColumn("row_id", F.col("sha"))
         if s.get("sample_size"):

@@ -1,14 +1,18 @@
 """Inference, sources, sinks and streaming."""
 
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tallywright.operators import calibrate as C
+from tallywright.operators import joins as J
 from tallywright.operators import resample as R
 from tallywright.operators import similarity as X
 from tallywright.operators import splits as D
 from tallywright.plans import evaluate as V
+from tallywright.plans import harness as N
 from tallywright.sources import loaders as IO
 from tallywright.streaming.scores import windowed_histogram
 
@@ -81,8 +85,11 @@ def test_loaders(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         IO.parquet_globs(spark, {"train": str(tmp_path / "none*")})
     assert IO.parquet_globs(spark, {"train": str(tmp_path / "x.parquet/*.parquet")}).select("split").distinct().first().split == "train"
-    u = IO.manifest_union(spark, {"s": {"path": "x.parquet", "text_field": "t", "label_field": "l", "label_map": {"yes": 1, "no": 0}}}, str(tmp_path))
-    assert IO.unmapped(u) == 1 and u.first().row_id.startswith("sha256:")
+    declared = {"path": "x.parquet", "text_field": "t", "label_field": "l", "label_map": {"yes": 1, "no": 0}}
+    with pytest.raises(ValueError, match="maybe"):  # a value without a label is refused
+        IO.manifest_union(spark, {"s": declared}, str(tmp_path))
+    u = IO.manifest_union(spark, {"s": declared | {"label_map": {"yes": 1, "no": 0, "maybe": 0}}}, str(tmp_path))
+    assert IO.unmapped(u) == 0 and u.count() == 3 and u.first().row_id.startswith("sha256:")
     assert IO.file_hashes(spark, str(tmp_path / "x.parquet/*.parquet")).count() >= 1
 
 
@@ -118,3 +125,62 @@ def test_scorecard_and_gates(spark):
     assert {r.g: r.message for r in V.gates(c, ["g"], "roc_auc", 0.5).collect()} == {"a": "ok", "b": "missing"}
     roles = spark.createDataFrame([("s", "train"), ("s", "train")], "source string, role string")
     assert {(r.role, r.problem) for r in V.role_conflicts(roles, ["test"]).collect()} == {("train", "repeated"), ("test", "missing")}
+
+
+def test_verified_sources(spark, tmp_path):
+    f = tmp_path / "a.jsonl"
+    f.write_text('{"t": "one", "l": "yes"}\n{"t": "two", "l": "no"}\n')
+    sha = hashlib.sha256(f.read_bytes()).hexdigest()
+    slices = {"s": {"url": str(f), "sha256": "sha256:" + sha, "text_field": "t", "label_field": "l", "label_map": {"yes": 1, "no": 0}}}
+    cache = str(tmp_path / "cache")
+    assert sorted((r.text, r.label) for r in IO.manifest_union(spark, slices, cache).collect()) == [("one", 1), ("two", 0)]
+    f.write_text("changed")
+    assert IO.fetch_verified(str(f), sha, cache).startswith(cache)  # from the cache
+    with pytest.raises(ValueError, match="hash"):
+        IO.fetch_verified(str(f), "0" * 64, cache)
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+    with pytest.raises(ValueError, match="maybe"):
+        IO.refuse_unmapped(IO.map_labels(spark.createDataFrame([("yes",), ("maybe",)], "l string"), "l", {"yes": 1}), "l")
+    frozen = IO.frozen({"a": [1, {"b": 2}]})
+    with pytest.raises(TypeError):
+        frozen["a"] = 1
+    (tmp_path / "m.json").write_text('{"name": "m"}')
+    assert frozen["a"][1]["b"] == 2 and IO.read_manifest(str(tmp_path / "m.json")) == {"name": "m"}
+
+
+def test_asof_join(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("a", None, 3), (None, 9, 4), ("b", 7, 5), ("a", 25, 6)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 5, 51), ("a", 30, 99), (None, 1, 7), ("c", 1, 1)], "k string, t int, v int")
+    for cell in (None, lambda c: F.floor(c / 4)):
+        got = {r.id: r.v for r in J.asof_join(left, right, ["k"], "t", ["v"], cell).collect()}
+        assert got == {1: 51, 2: None, 3: None, 4: None, 5: None, 6: 51}
+    assert J.asof_join(left, right.where("false"), ["k"], "t", ["v"]).where("v is null").count() == 6
+
+
+def test_isotonic_transform(spark):
+    fit = spark.createDataFrame([("a", 0.2, 0.3, 0.1), ("a", 0.5, 0.6, 0.5)], "k string, low double, high double, value double")
+    d = spark.createDataFrame([("a", i, 0, s) for i, s in enumerate([0.1, 0.25, 0.4, 0.55, 0.9])] + [("b", 9, 0, 0.5)], "k string, id int, y int, s double")
+    got = {r.id: round(r.s, 6) for r in C.apply_isotonic(d, fit, ["k"]).collect()}
+    assert got == {0: 0.1, 1: 0.1, 2: 0.3, 3: 0.5, 4: 0.5}
+
+
+def test_run_gates_and_audit(spark):
+    r = np.random.default_rng(0)
+    rows = spark.createDataFrame([("s" if i % 3 else "one", i, int(i % 3 == 0 or i % 2), float(r.random())) for i in range(300)], "slice_name string, row_id bigint, label int, x double")
+    grid, failed = N.score_grid(rows, {"x": lambda d: F.col("x"), "bad": lambda d: F.col("no_such"), "half": lambda d: F.lit(0.5), "late": lambda d: F.raise_error(F.lit("boom")).cast("double")})
+    assert set(failed) == {"bad", "late"} and {x.scorer for x in grid.select("scorer").distinct().collect()} == {"x", "half"}
+    leak = spark.createDataFrame([("c", "s", 1), ("c", "s", 2)], "check_name string, split string, row_id bigint")
+    with pytest.raises(RuntimeError):
+        N.evaluate(grid, leakage=leak)
+    run = N.evaluate(grid, [("x", "half")], [N.OperatingPoints("s", ("max_f1", "youden_j")), N.OperatingPoints("gone")], leak, "record", failed=failed, reps=20).cache()
+    facts = {(x.section, x.slice_name, x.scorer, x.name): x for x in run.collect()}
+    assert facts["size", "one", "x", "n"].value == 100 and facts["metric", "one", "x", "roc_auc"].status == "skipped" and facts["leakage", None, None, "c"].value == 2
+    assert facts["metric", "s", "half", "roc_auc"].value == 0.5 and ("operating_point", "one", "x", "s:max_f1:recall") in facts and facts["operating_point", None, None, "gone"].status == "error"
+    gates = [N.required_slice("s"), N.required_slice("t"), N.required_metric("one", "x", "roc_auc"), N.minimum_slice_size("one", 1, 1, 1), N.low_fpr_feasibility("s", 0.5), N.paired_diff_present("s", "x", "half"), N.no_scorer_errors(), N.no_leakage_errors(), N.strict_artifact()]
+    got = {x.gate: x.passed for x in N.check_gates(run, gates).collect()}
+    assert list(got.values()) == [True, False, False, False, True, True, False, False, True]
+    assert {x.claim: x.supported for x in N.claim_report(run, {"a": [gates[0], gates[8]], "b": [gates[0], gates[1]]}).collect()} == {"a": True, "b": False}
+    docs = spark.createDataFrame([(1, "train", "Same text", 1), (2, "test", "same  TEXT", 0), (3, "test", "other", 0), (4, "train", "x" * 99, 0), (5, None, None, 1)], "row_id bigint, split string, text string, label int")
+    audit = {(x.gate, x.split): x.passed for x in N.audit_dataset(docs, 50).collect()}
+    assert audit == {("class_balance", "train"): True, ("class_balance", "test"): False, ("context_window_fit", "train"): False, ("context_window_fit", "test"): True, ("no_cross_split_leakage", "train"): True, ("no_cross_split_leakage", "test"): False, ("exact_duplicates", "train"): True, ("exact_duplicates", "test"): True}
+    assert N.audit_dataset(docs.where("false"), 50).count() == 0 and N.evaluate(grid.where("false")).count() == 0
