@@ -181,14 +181,21 @@ def minhash_pairs(df: DataFrame, row_id: str, grams, threshold: float, perms: in
     s = df.select(F.col(row_id).alias("id"), grams.alias("g")).where(F.size("g") > 0)
     seeds = mix64(np.arange(1, perms + 1).astype(np.uint64))
 
+    r = perms // bands
+
+    def band_keys(hashes: np.ndarray) -> np.ndarray:
+        low = mix64(np.asarray(hashes).view(np.uint64)[:, None] ^ seeds[None, :]).min(axis=0)[: bands * r].reshape(bands, r)
+        key = np.arange(1, bands + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(r):
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
+        return key.view(np.int64)
+
     @F.pandas_udf("array<bigint>")
-    def signature(hashes: pd.Series) -> pd.Series:
-        return hashes.map(lambda h: mix64(np.asarray(h).view(np.uint64)[:, None] ^ seeds[None, :]).min(axis=0).view(np.int64))
+    def keys(hashes: pd.Series) -> pd.Series:
+        return hashes.map(band_keys)
 
-    sig = signature(F.transform("g", lambda x: F.xxhash64(x)))
-    r = perms // bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * r + 1, r)))
-    e = s.withColumn("sig", sig).select("id", F.explode(keys).alias("key"))
+    e = s.select("id", F.transform("g", lambda x: F.xxhash64(x)).alias("h")).select("id", F.explode(keys("h")).alias("key"))
     c = e.alias("a").join(e.alias("b"), F.expr("a.key = b.key and a.id < b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = c.join(s.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(s.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     k = F.size(F.array_intersect("ga", "gb"))
