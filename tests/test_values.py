@@ -215,3 +215,17 @@ def test_ranks_by_slices(spark):
     df = spark.createDataFrame([(i, i % 2) for i in range(500)], "row_id bigint, label int")
     got = D.dealt(df, "row_id", ["label"], 0).collect()
     assert sorted(r["rank"] for r in got if r.label == 0) == list(range(1, 251)) and {r.total for r in got} == {250}
+
+
+def test_score_summary_rounds_ties_as_its_sql(spark, tmp_path):
+    from compare import oracle
+    from tallywright.plans import catalog
+
+    groups = {"up": [0.414571, 0.41888], "down": [0.512146, 0.514287], "quarter": [0.3, 0.260379, 0.260121, 0.28, 0.29, 0.27], "below": [0.26764, 0.267662], "one": [0.7], "equal": [0.2] * 5}
+    rows = [(k, "m", i, str(i), "r", 1, x) for k, v in groups.items() for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "slice_name string, scorer string, pred_id bigint, row_id string, run_id string, label int, score double")
+    d.withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/predictions.parquet")
+    cols = ["slice_name", "n", "mean", "std", "q25", "median", "q75"]
+    got = {tuple(r) for r in catalog.queries()["score_summary"](spark, str(tmp_path)).select(*cols).collect()}
+    want = set(oracle(str(tmp_path)).execute(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()['score_summary']})").fetchall())
+    assert got == want and {(r[0], r[5]) for r in got} > {("up", 0.416726), ("down", 0.513216), ("one", 0.7), ("equal", 0.2)}
