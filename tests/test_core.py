@@ -252,6 +252,46 @@ def test_edits_state_the_reason():
     assert P.read_record("r1,2,0.5,,t", False)[1:] == ("label", 1, "replace value label")
 
 
+def price(edits):
+    return sum(P.INVALID if e.startswith("invalid") else 1 for e in edits)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(['"', ",", ":", "{", "}", "[", "]", " ", "\n", "\\", "a", "1", '{"a":[', "}]", '"b"']), max_size=14), st.sampled_from([0, 500_000]))
+def test_large_searches_are_as_cheap_as_the_plain_one(parts, cells):
+    raw = "".join(parts)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "NODES", 10**9)
+        plain = [P.cheapest_edits(raw, x)[0] for x in (P.Json, P.Csv)]
+        m.setattr(P, "NODES", 0)
+        m.setattr(P, "CELLS", cells)
+        other = [P.cheapest_edits(raw, x) for x in (P.Json, P.Csv)]
+    assert [c for c, _ in other] == plain and [price(e) for _, e in other] == plain
+
+
+def test_edits_of_long_and_deep_records():
+    cost, edits = P.cheapest_edits('a"b,' * 20_000, P.Csv)
+    assert cost == len(edits) == 20_000 and edits[-1] == "delete quote at 79997"
+    assert P.cheapest_edits("[" * 3000, P.Json) == (2, ["insert quote at 0", "insert quote at 3000"])
+    cost, edits = P.cheapest_edits('["a",' * 200, P.Json)
+    assert cost == len(edits) == 201 and edits.count("insert bracket at 1000") == 200
+    head = '{"row_id": "r1", "label": 0, "score": 0.5, "content_hash": "", "text": '
+    for depth in (100, 600, 30_000):
+        values, reason, cost, edits = P.read_record(head + '[{"a": ' * depth + "1" + "}]" * depth + "}", True)
+        assert (reason, cost, edits) == (None, 0, None) and P._as_text(values[4]) == "[[('a', " * depth + "'1'" + ")]]" * depth
+        assert P.read_record("[" * depth + "]" * depth, True)[1:3] == ("columns", 5)
+        assert P.read_record(head + "[" * depth + "1" + "]" * (depth - 1) + "}", True)[1:3] == ("quoting", 1)
+
+
+def test_reasons_need_no_search():
+    hostile = "[" + "}{][,:\"a1" * 20_000
+    assert P.read_record(hostile, True, search=False) == (None, "quoting", None, None)
+    for raw in ("r1,0,0.5,,t", "r1,0,0.5,,t,x", 'r1,0,0.5,,"open', "r1,2,0.5,,t", "", '"'):
+        assert P.read_record(raw, False, search=False)[:2] == P.read_record(raw, False)[:2]
+    for raw in ("[1]", "", '{"a": 1,}', '{"row_id": "r1", "label": 0, "score": 1, "content_hash": "", "text": ""}'):
+        assert P.read_record(raw, True, search=False)[:2] == P.read_record(raw, True)[:2]
+
+
 def test_parse_extra_columns_and_empty(spark):
     d = spark.createDataFrame([(1, "a.csv", "text/csv", 1, "r1,0,0.5,,t", "x", 9), (2, None, None, None, None, None, None)], "raw_id bigint, artifact string, media_type string, line_no bigint, raw string, reason string, label int")
     assert P.valid_records(d).first().score == 0.5 and P.faulty_records(d).first().reason == "columns" and P.parse_records(d.where("false")).count() == 0
